@@ -6,16 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe
+from quern.llm import bpe, exact_dedup
 from quern.llm.shared import table
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_exact_dedup": op3_exact_dedup,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS copies, strlen(text) AS n_bytes
+        FROM documents WHERE text IS NOT NULL WINDOW same AS (PARTITION BY text)
+        UNION ALL
+        SELECT doc_id, doc_id, 1, NULL FROM documents WHERE text IS NULL""",
+}
