@@ -235,7 +235,7 @@ def _keys(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
                 part = batch.slice(a, 2000)
                 fp = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]], axis=1)
                 set_ = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
-                keys = np.stack([mix(set_[:, c].astype(np.uint64) @ weights + np.uint64(t << 60 | t << 40) + np.uint64(t)) for t, c in enumerate(chosen)])
+                keys = np.stack([mix(set_[:, c].astype(np.uint64) @ weights + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for t, c in enumerate(chosen)])
                 again = pa.array(np.tile(np.arange(part.num_rows), tables))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(again) for c in part.columns)], ["key", "node", *_FP])
 
