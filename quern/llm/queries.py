@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, exact_dedup, simhash
+from quern.llm import bpe, decontam, exact_dedup, simhash
 from quern.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,11 +28,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontam.SQL,
     "op3_exact_dedup": """
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS copies, strlen(text) AS n_bytes
         FROM documents WHERE text IS NOT NULL WINDOW same AS (PARTITION BY text)

@@ -108,8 +108,8 @@ class Slice:
         self.cp = np.frombuffer(self.raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         self.n = len(lengths)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lower-cased words, maximal runs of letters and numbers: hashes, code-point starts, text index."""
+    def word_spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased code points, and starts and ends of the words in them: maximal runs of letters and numbers."""
         low = lower_table()[self.cp]
         inside = (kind := classes()[self.cp]) == LETTER
         inside |= kind == NUMBER
@@ -127,6 +127,11 @@ class Slice:
         if len(cut):
             cut = np.unique(cut)
             s, e = np.sort(np.concatenate([s, cut])), np.sort(np.concatenate([e, cut]))
+        return low, s, e
+
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' hashes, their starts, and the text that each is in."""
+        low, s, e = self.word_spans()
         if not len(s):
             return np.zeros(0, np.uint64), s, s
         return span_hashes(low, s, e), s, np.searchsorted(self.at, s, "right") - 1
