@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontam, exact_dedup, langid, simhash
+from quern.llm import bpe, decontam, exact_dedup, langid, license_scan, secrets, simhash
 from quern.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_notices(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -26,20 +30,27 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_simhash": op6_simhash,
     "op8_langid": op8_langid,
+    "op9_secrets": op9_secrets,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontam.SQL,
+    "op9_secrets": secrets.sql(),
     "op3_exact_dedup": """
         SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS copies, strlen(text) AS n_bytes
         FROM documents WHERE text IS NOT NULL WINDOW same AS (PARTITION BY text)
