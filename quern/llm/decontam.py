@@ -236,6 +236,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = PHRASE, least:
     return index.mapInArrow(work, RESULT)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 500_000, **parameters) -> DataFrame:
+    """The rows of docs that match no item of benchmark, with all their columns.
+
+    Rows are told apart by a hash of doc_id and text, so that a null doc_id, or one of several rows, does no
+    harm.  The hashes of rows that match are broadcast up to broadcast_rows and joined by a shuffle beyond.
+    """
+    whole = docs.select(F.struct("*").alias("row")).select(F.xxhash64("row.doc_id", "row.text").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "row")
+    found = stored(contaminated(whole.select("doc_id", "text"), benchmark, **parameters).select(F.col("doc_id").alias("found")).distinct(), "contaminated")
+    if found.count() <= broadcast_rows:
+        found = F.broadcast(found)
+    return whole.join(found, F.col("doc_id") == F.col("found"), "left_anti").select("row.*")
+
+
 SQL = f"""
     WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
     bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
