@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, decontam, exact_dedup, langid, license_scan, secrets, sharding, simhash, token_rollup
+from quern.llm import bpe, decontam, exact_dedup, langid, license_scan, secrets, sharding, simhash, token_rollup, warc
 from quern.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.maintained(spark, sf_dir)
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_warc": op2_warc,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.sql(),
     "op5_decontamination": decontam.SQL,
     "op9_secrets": secrets.sql(),
     "op3_exact_dedup": """
