@@ -70,3 +70,9 @@ def normalize(v: Column) -> Column:
 def round6(x: Column) -> Column:
     """Six decimals, without a negative zero."""
     return F.round(x, 6) + F.lit(0.0)
+
+
+def problem(id_: Column, v: Column, dimension: int) -> Column:
+    """What bars a vector from a collection: id, empty, dimension or value (not a number, or beyond 3.4e38); null if nothing."""
+    large = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 3.4e38))
+    return F.when(id_.isNull() | (id_ == ""), "id").when(v.isNull() | (F.size(v) == 0), "empty").when(large, "value").when(F.size(v) != dimension, "dimension")

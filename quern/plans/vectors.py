@@ -1,4 +1,4 @@
-"""Vector queries."""
+"""Vector queries: every row of embeddings is searched for, over all rows."""
 
 from __future__ import annotations
 
@@ -6,19 +6,255 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import distance as D
+from quern.operators import clustering, knn, quantization, vector_dedup
 
+COPIES = 100_000  # ids of repeated vectors start here
 
-def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    d = D.round6(D.cosine_distance(F.col("embedding"), F.col("q")))
-    return v.crossJoin(F.broadcast(q)).select("vec_id", d.alias("dist")).orderBy("dist", "vec_id").limit(10)
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, cluster_id: the labels as a clustering."""
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("cluster_id"))
+
+
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.centroids_of(labelled(spark, sf_dir), vectors(spark, sf_dir))
+
+
+def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, and those of odd label once more."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    again = rows.where("label % 2 = 1").select((F.col("vec_id") + COPIES).alias("id"), F.col("embedding").alias("vector"))
+    return vectors(spark, sf_dir).unionByName(again)
+
+
+def _knn(metric: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        v = vectors(spark, sf_dir)
+        return knn.knn(v, v, 10, metric)
+
+    return query
+
+
+def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of label 3, by metadata, for every vector."""
+    meta = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    return knn.knn(vectors(spark, sf_dir), meta.where(knn.matches("metadata", {"label": 3})).select("vec_id", "embedding"), 10, "cosine")
+
+
+def knn_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by the coarse form of a vector, its first 16 values."""
+    v = vectors(spark, sf_dir).select("id", F.slice("vector", 1, 16).alias("vector"))
+    return knn.knn(v, v, 10, "l2")
+
+
+def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return knn.range_search(v, v, 1.1, "l2")
+
+
+def range_search_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.range_limited(range_search(spark, sf_dir), 5)
+
+
+def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    c = clustering.fit(v, 16)
+    return knn.knn_ivf(v, v, c, 10, 10)
+
+
+def knn_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    return quantization.knn_two_stage(v, v, 10)
+
+
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the search by coarse forms against the exact one."""
+    v = vectors(spark, sf_dir)
+    return knn.recall(knn_prefix(spark, sf_dir), knn.knn(v, v, 10, "l2"), 10)
+
+
+def vec_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics between every vector and every label's centroid."""
+    c = label_centroids(spark, sf_dir)
+    rows = vectors(spark, sf_dir).crossJoin(c)
+    v, m = F.col("vector"), F.col("centroid")
+    return rows.select("id", "cluster_id", D.round6(D.cosine_similarity(v, m)).alias("cosine"), D.round6(D.dot(v, m)).alias("dot"), D.round6(D.l2(v, m)).alias("l2"))
+
+
+def vec_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    twice = F.transform("vector", lambda x: x * 2)
+    return vectors(spark, sf_dir).select("id", D.round6(D.norm(twice)).alias("norm"), D.round6(F.get(D.normalize(twice), F.lit(0))).alias("first"))
+
+
+def vec_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors, and some of them spoilt by label, with what is wrong."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    bad = F.when(F.col("label") == 1, F.slice("embedding", 1, 10)).when(F.col("label") == 2, F.array_append("embedding", F.lit(float("nan")).cast("float"))).when(F.col("label") == 3, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+    return rows.select(F.col("vec_id").alias("id"), D.problem(F.when(F.col("label") == 4, F.lit("")).otherwise(F.col("vec_id").cast("string")), bad, 64).alias("problem"))
+
+
+def centroid_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_centroids(spark, sf_dir).select("cluster_id", "size", F.posexplode("centroid").alias("d", "x")).select("cluster_id", "size", "d", D.round6(F.col("x")).alias("x"))
+
+
+def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.assigned(vectors(spark, sf_dir), label_centroids(spark, sf_dir)).drop("rank")
+
+
+def kmeans_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = clustering.step(vectors(spark, sf_dir), label_centroids(spark, sf_dir))
+    return new.select("cluster_id", "size", F.posexplode("centroid").alias("d", "x")).select("cluster_id", "size", "d", D.round6(F.col("x")).alias("x"))
+
+
+def cluster_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.inertia(vectors(spark, sf_dir), labelled(spark, sf_dir), label_centroids(spark, sf_dir))
+
+
+def cluster_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.quality(vectors(spark, sf_dir), labelled(spark, sf_dir), label_centroids(spark, sf_dir))
+
+
+def cluster_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.silhouette(vectors(spark, sf_dir), labelled(spark, sf_dir))
+
+
+def cluster_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.balanced(vectors(spark, sf_dir), label_centroids(spark, sf_dir))
+
+
+def cluster_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with those from 5 on counted as one, which makes them uneven."""
+    sizes = labelled(spark, sf_dir).groupBy(F.least("cluster_id", F.lit(5)).alias("cluster_id")).agg(F.count(F.lit(1)).alias("size"))
+    return clustering.rebalance(sizes)
+
+
+def cluster_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared distances to the first k labels' centroids, for k of 1 to 10."""
+    near = vec_metrics(spark, sf_dir).select("id", (F.col("cluster_id") + 1).alias("c"), (F.col("l2") * F.col("l2")).alias("d2"))
+    ks = spark.range(1, 11).toDF("k")
+    low = near.join(F.broadcast(ks), F.col("c") <= F.col("k")).groupBy("k", "id").agg(F.min("d2").alias("d2"))
+    return clustering.elbow(low.groupBy("k").agg(F.round(F.sum("d2"), 6).alias("inertia")))
+
+
+def sq_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantization.ranges(vectors(spark, sf_dir)).select("d", D.round6(F.col("lo")).alias("lo"), D.round6(F.col("hi")).alias("hi"))
+
+
+def sq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    r = quantization.packed_ranges(quantization.ranges(v))
+    rows = v.crossJoin(F.broadcast(r)).withColumn("code", quantization.encode(F.col("vector"), F.col("lows"), F.col("highs")))
+    back = quantization.decode(F.col("code"), F.col("lows"), F.col("highs"))
+    return rows.select("id", F.aggregate("code", F.lit(0), lambda a, x: a + x).cast("bigint").alias("code_sum"), D.round6(quantization.mse(F.col("vector"), back)).alias("mse"), F.lit(quantization.ratio(64, 64 * 8)).alias("ratio"))
+
+
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes by a book that has the labels' centroids' parts as its centroids, and the asymmetric distance of a vector to its own code."""
+    parts = quantization.parts_for(64)
+    book = label_centroids(spark, sf_dir).select(F.col("cluster_id").cast("int").alias("k"), F.explode(F.array(*(F.struct(F.lit(m).alias("m"), quantization.subvector(F.col("centroid"), m, parts).alias("centroid")) for m in range(parts)))).alias("s")).select("s.m", "k", "s.centroid")
+    return quantization.pq_codes(vectors(spark, sf_dir), book, parts).select("id", F.posexplode("code").alias("m", "code"))
+
+
+def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.exact_groups(repeated(spark, sf_dir)).select("original", "copies", F.get("duplicates", F.lit(0)).alias("duplicate"), "bytes_saved")
+
+
+def dedup_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_pairs(repeated(spark, sf_dir), 0.6)
+
+
+def dedup_representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = repeated(spark, sf_dir)
+    return vector_dedup.representatives(v, vector_dedup.near_pairs(v, 0.95))
+
+
+def dedup_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.fingerprint(vectors(spark, sf_dir))
+
+
+def dedup_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.hamming_candidates(vector_dedup.signatures(repeated(spark, sf_dir), 64))
+
+
+def dedup_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = repeated(spark, sf_dir)
+    n = v.agg(F.count(F.lit(1)).alias("vectors"))
+    found = vector_dedup.stats(vector_dedup.exact_groups(v), vector_dedup.near_pairs(v, 0.95), 0).drop("vectors")
+    return n.crossJoin(found)
+
+
+QUERIES = {
+    "knn_cosine": _knn("cosine"),
+    "knn_l2": _knn("l2"),
+    "knn_dot": _knn("dot"),
+} | {
+    f.__name__: f
+    for f in (
+        knn_filtered, knn_prefix, range_search, range_search_limited, knn_ivf, knn_two_stage, recall_at_k, vec_metrics, vec_norm, vec_validate, centroid_by_label, nearest_centroid, kmeans_step,
+        cluster_inertia, cluster_quality, cluster_silhouette, cluster_balanced, cluster_rebalance, cluster_elbow, sq_ranges, sq_encode, pq_encode,
+        dedup_exact, dedup_near_pairs, dedup_representatives, dedup_fingerprint, dedup_hamming, dedup_stats,
+    )
+}
+
+_V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings)"
+_L2 = "round(list_distance(a.v, b.v), 6) + 0.0"
+_PAIRS = f"SELECT a.id AS query_id, b.id AS id, {{d}} AS dist FROM v a, {{b}} b"
+_TOP = "SELECT query_id, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM ({p})) WHERE rank <= 10"
+_C = "e AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS d FROM v), cd AS (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label::BIGINT AS id, list(x ORDER BY d) AS v FROM cd GROUP BY label)"
+_R = f"WITH {_V}, r AS (SELECT id, v FROM v UNION ALL SELECT id + {COPIES}, v FROM v WHERE label % 2 = 1)"
+
+
+def _top(d: str, b: str = "v") -> str:
+    return f"WITH {_V} " + _TOP.format(p=_PAIRS.format(d=d, b=b))
+
+
+_COS = "round(1 - list_cosine_similarity(a.v, b.v), 6) + 0.0"
+_NEAR = "SELECT a.id AS a, b.id AS b, round(1 - (round(1 - list_cosine_similarity(a.v, b.v), 6) + 0.0), 6) + 0.0 AS similarity FROM r a JOIN r b ON a.id < b.id WHERE round(1 - list_cosine_similarity(a.v, b.v), 6) + 0.0 <= {t}"
+_SQ = f"""WITH {_V}, ex AS (SELECT unnest(range(64)) AS d, unnest(v) AS x FROM v), n AS (SELECT greatest(1, floor(count(*) * 0.01))::BIGINT AS k, count(*) AS n FROM v),
+    s AS (SELECT d, list_sort(list(x)) AS xs FROM ex GROUP BY d), rg AS (SELECT d, xs[k + 1] AS lo, xs[n - k] AS hi FROM s, n)"""
 
-QUERIES = {"knn_cosine": knn_cosine}
 ORACLE_SQL = {
-    "knn_cosine": """
-        WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)
-        SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) + 0.0 AS dist
-        FROM embeddings, q ORDER BY dist, vec_id LIMIT 10""",
+    "knn_cosine": _top(_COS),
+    "knn_l2": _top(_L2),
+    "knn_dot": _top("round(-list_inner_product(a.v, b.v), 6) + 0.0"),
+    "knn_filtered": _top(_COS, "(SELECT * FROM v WHERE label = 3)"),
+    "knn_prefix": f"WITH w AS (SELECT vec_id AS id, embedding::DOUBLE[] AS f FROM embeddings), v AS (SELECT id, f[1:16] AS v FROM w) " + _TOP.format(p=_PAIRS.format(d=_L2, b="v")),
+    "range_search": f"WITH {_V} SELECT * FROM ({_PAIRS.format(d=_L2, b='v')}) WHERE dist <= 1.1",
+    "range_search_limited": f"""WITH {_V}, p AS (SELECT * FROM ({_PAIRS.format(d=_L2, b='v')}) WHERE dist <= 1.1), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM p)
+        SELECT query_id, rank, id, dist, count(*) OVER (PARTITION BY query_id) AS count, count(*) OVER (PARTITION BY query_id) >= 5 AS limited FROM t WHERE rank <= 5""",
+    "recall_at_k": f"""WITH {_V}, p AS ({_PAIRS.format(d=_L2, b='v')}), t AS ({_TOP.format(p='FROM p')}), w AS (SELECT id, v[1:16] AS v FROM v), g AS ({_TOP.format(p=_PAIRS.format(d=_L2, b='w').replace('v a', 'w a'))})
+        SELECT t.query_id, count(g.id) AS hits, round(count(g.id) / 10, 6) AS recall FROM t LEFT JOIN g ON t.query_id = g.query_id AND t.id = g.id GROUP BY t.query_id""",
+    "vec_metrics": f"WITH {_V}, {_C} SELECT a.id, b.id AS cluster_id, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS cosine, round(list_inner_product(a.v, b.v), 6) + 0.0 AS dot, {_L2} AS l2 FROM v a, c b",
+    "vec_norm": f"WITH {_V} SELECT id, round(2 * sqrt(list_inner_product(v, v)), 6) + 0.0 AS norm, round(v[1] / sqrt(list_inner_product(v, v)), 6) + 0.0 AS first FROM v",
+    "vec_validate": "SELECT vec_id AS id, CASE label WHEN 1 THEN 'dimension' WHEN 2 THEN 'value' WHEN 3 THEN 'empty' WHEN 4 THEN 'id' END AS problem FROM embeddings",
+    "centroid_by_label": f"WITH {_V}, {_C} SELECT label::BIGINT AS cluster_id, size, d, round(x, 6) + 0.0 AS x FROM cd JOIN (SELECT label, count(*) AS size FROM v GROUP BY label) USING (label)",
+    "nearest_centroid": f"WITH {_V}, {_C}, p AS ({_PAIRS.format(d=_L2, b='c')}) SELECT query_id AS id, id AS cluster_id, dist FROM ({_TOP.format(p='FROM p')}) WHERE rank = 1",
+    "kmeans_step": f"""WITH {_V}, {_C}, p AS ({_PAIRS.format(d=_L2, b='c')}), n AS (SELECT query_id AS id, id AS cluster_id FROM ({_TOP.format(p='FROM p')}) WHERE rank = 1),
+        u AS (SELECT cluster_id, unnest(v) AS x, unnest(range(64)) AS d FROM n JOIN v USING (id)) SELECT cluster_id, count(*) AS size, d, round(avg(x), 6) + 0.0 AS x FROM u GROUP BY ALL""",
+    "cluster_inertia": f"WITH {_V}, {_C}, m AS (SELECT a.label::BIGINT AS cluster_id, list_distance(a.v, b.v) AS d FROM v a JOIN c b ON a.label = b.id) SELECT cluster_id, count(*) AS size, round(sum(d * d), 6) AS wcss, round(1.2 * max(d), 6) AS radius FROM m GROUP BY ALL",
+    "cluster_quality": f"""WITH {_V}, {_C}, m AS (SELECT a.label::BIGINT AS cluster_id, count(*) AS size, avg(list_distance(a.v, b.v)) AS intra FROM v a JOIN c b ON a.label = b.id GROUP BY ALL),
+        o AS (SELECT a.id AS cluster_id, min(list_distance(a.v, b.v)) AS inter FROM c a JOIN c b ON a.id <> b.id GROUP BY ALL)
+        SELECT cluster_id, size, round(intra, 6) AS intra, round(inter, 6) AS inter, round((inter - intra) / greatest(inter, intra), 6) + 0.0 AS silhouette, round(abs(size - avg(size) OVER ()) / avg(size) OVER (), 6) + 0.0 AS imbalance FROM m JOIN o USING (cluster_id)""",
+    "cluster_silhouette": f"""WITH {_V}, p AS (SELECT a.id, a.label, b.label AS other, sum({_L2}) AS total, count(*) AS n FROM v a, v b GROUP BY ALL),
+        q AS (SELECT id, label::BIGINT AS cluster_id, max(CASE WHEN label = other THEN total / (n - 1) END) AS a, min(CASE WHEN label <> other THEN total / n END) AS b FROM p GROUP BY ALL)
+        SELECT id, cluster_id, round(a, 6) AS a, round(b, 6) AS b, round((b - a) / greatest(a, b), 6) + 0.0 AS silhouette FROM q""",
+    "cluster_rebalance": """WITH s AS (SELECT least(label, 5)::BIGINT AS cluster_id, count(*) AS size FROM embeddings GROUP BY ALL), m AS (SELECT *, avg(size) OVER () AS mean FROM s)
+        SELECT cluster_id, size, CASE WHEN size - mean > 0.3 * mean THEN 'oversized' WHEN size - mean < -0.3 * mean THEN 'undersized' ELSE 'even' END AS kind,
+        greatest(-1000, least(1000, trunc(size - mean)))::BIGINT AS excess, size > 2 * mean AS split, size <= mean / 2 AS merge FROM m""",
+    "cluster_elbow": f"""WITH {_V}, {_C}, m AS (SELECT a.id, b.id + 1 AS c, ({_L2}) ** 2 AS d2 FROM v a, c b), s AS (SELECT k, id, min(d2) AS d2 FROM m JOIN (SELECT unnest(range(1, 11)) AS k) ON c <= k GROUP BY ALL),
+        i AS (SELECT k, round(sum(d2), 6) AS inertia FROM s GROUP BY k), b AS (SELECT *, round(lag(inertia) OVER o - 2 * inertia + lead(inertia) OVER o, 6) + 0.0 AS bend FROM i WINDOW o AS (ORDER BY k))
+        SELECT k, inertia, bend, row_number() OVER (ORDER BY bend DESC NULLS LAST, k) = 1 AND bend IS NOT NULL AS best FROM b""",
+    "sq_ranges": _SQ + " SELECT d, round(lo, 6) + 0.0 AS lo, round(hi, 6) + 0.0 AS hi FROM rg",
+    "sq_encode": _SQ + """, w AS (SELECT id, unnest(range(64)) AS d, unnest(v) AS x FROM v), q AS (SELECT id, x, lo, hi, floor((greatest(lo, least(hi, x)) - lo) * (255.0::DOUBLE / (hi - lo)) + 0.5::DOUBLE) AS code FROM w JOIN rg USING (d))
+        SELECT id, sum(code)::BIGINT AS code_sum, round(avg((x - (lo + code / (255.0::DOUBLE / (hi - lo)))) ** 2), 6) + 0.0 AS mse, 4.0::DOUBLE AS ratio FROM q GROUP BY id""",
+    "pq_encode": f"""WITH {_V}, {_C}, p AS (SELECT a.id, m, b.id AS code, round(list_distance(a.v[8 * m + 1 : 8 * m + 8], b.v[8 * m + 1 : 8 * m + 8]) ** 2, 6) AS dist FROM v a, c b, (SELECT unnest(range(8)) AS m))
+        SELECT id, m, code FROM (SELECT *, row_number() OVER (PARTITION BY id, m ORDER BY dist, code) AS r FROM p) WHERE r = 1""",
+    "dedup_exact": _R + " SELECT min(id) AS original, count(*) AS copies, max(id) AS duplicate, (count(*) - 1) * 256 AS bytes_saved FROM r GROUP BY v HAVING count(*) > 1",
+    "dedup_near_pairs": _R + _NEAR.format(t=0.4),
+    "dedup_representatives": _R + f", p AS ({_NEAR.format(t=0.05)}) SELECT id, least(id, (SELECT min(a) FROM p WHERE b = id)) AS representative FROM r",
+    "dedup_stats": _R + f", p AS ({_NEAR.format(t=0.05)}), g AS (SELECT count(*) AS n FROM r GROUP BY v) SELECT (SELECT count(*) FROM r) AS vectors, (SELECT sum(n - 1) FROM g)::BIGINT AS exact, (SELECT count(DISTINCT b) FROM p) AS near, (SELECT sum(n - 1) FROM g)::BIGINT * 256 AS bytes_saved",
 }
