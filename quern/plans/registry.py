@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import vectors
+from quern.plans import feedback, search, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (vectors,):
+for module in (vectors, search, feedback):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
