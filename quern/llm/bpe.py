@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,9 @@ from quern.llm.textvec import LETTER, NUMBER, OTHER, SPACE, Slice, classes, slic
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean"
-_CACHE_WORDS = 1_500_000
-_CACHE_ARCS = 4_000_000
+_CACHE_WORDS = 400_000
+_CACHE_ARCS = 600_000
+_SLICE = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -71,24 +73,14 @@ def explicit(labels: list[bytes], merges: list[tuple[int, int]]) -> tuple[dict[i
     """The automaton with every state and arc, by merge gadgets one after another: arcs by state, and the start."""
     arcs: dict[int, dict[int, int]] = {0: {t: 0 for t, (a, _) in enumerate(merges) if a < 0}}
     for t, (left, right) in enumerate(merges):
-        if left < 0:
+        q = next((x[left] for x in arcs.values() if left in x), None) if left >= 0 else None
+        if q is None or right not in arcs[q]:
             continue
-        copies: dict[int, int] = {}
-        work = [p for p in arcs if left in arcs[p]]
-        while work:
-            p = work.pop()
-            q = arcs[p].get(left)
-            if q is None or q in copies.values() or right not in arcs[q]:
-                continue
-            arcs[p][t] = arcs[q][right]
-            if q not in copies:
-                copies[q] = c = max(arcs) + 1
-                arcs[c] = {k: v for k, v in arcs[q].items() if k not in (right, t)}
-                if left in arcs[c]:
-                    if arcs[c][left] == c or arcs[c][left] in copies.values():
-                        arcs[c][t] = arcs[q][t]
-                    work.append(c)
-            arcs[p][left] = copies[q]
+        after, copy = arcs[q][right], len(arcs)
+        arcs[copy] = {k: v for k, v in arcs[q].items() if k != right}
+        for p in arcs.values():
+            if left in p:
+                p[t], p[left] = after, copy
     return arcs, 0
 
 
@@ -108,21 +100,49 @@ class Automaton:
         self.pool = np.frombuffer(b"".join(labels), np.uint8)
         self.pool_at = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self._trie()
+        self.labels = None  # pool has them
         self.reset_arcs()
         self.reset_words()
 
     def _trie(self) -> None:
+        """The trie's arcs as an open hash table of node * 256 + byte: a dense one would have 100 MB."""
         nodes: dict[bytes, int] = {b"": 0}
         for x in self.labels:
             for i in range(1, len(x) + 1):
                 nodes.setdefault(x[:i], len(nodes))
-        self.trie = np.zeros((len(nodes), 256), np.int32)
         self.label_at = np.full(len(nodes), -1, np.int32)
-        for x, i in nodes.items():
-            if x:
-                self.trie[nodes[x[:-1]], x[-1]] = i
         for t, x in enumerate(self.labels):
             self.label_at[nodes[x]] = t
+        key = np.array([nodes[x[:-1]] * 256 + x[-1] for x in nodes if x], np.int64)
+        child = np.array([i for x, i in nodes.items() if x], np.int32)
+        bits = max(4, (4 * len(nodes)).bit_length())
+        self.trie_shift = np.uint64(64 - bits)
+        self.trie_keys, self.trie_child = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.int32)
+        place = self._place(key)
+        while len(key):
+            first = np.unique(place, return_index=True)[1]
+            won = np.zeros(len(key), bool)
+            won[first] = self.trie_keys[place[first]] < 0
+            self.trie_keys[place[won]], self.trie_child[place[won]] = key[won], child[won]
+            key, child, place = key[~won], child[~won], (place[~won] + 1) & (len(self.trie_keys) - 1)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.trie_shift).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The trie's nodes after one more byte, 0 where there is none."""
+        key = node.astype(np.int64) * 256 + byte
+        at = self._place(key)
+        have = self.trie_keys[at]
+        out = np.where(have == key, self.trie_child[at], 0)
+        todo = np.flatnonzero((have != key) & (have >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.trie_keys) - 1)
+            have = self.trie_keys[at[todo]]
+            hit = have == key[todo]
+            out[todo[hit]] = self.trie_child[at[todo[hit]]]
+            todo = todo[~hit & (have >= 0)]
+        return out
 
     def reset_arcs(self) -> None:
         self.arc_keys, self.arc_ok = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -210,7 +230,7 @@ class Automaton:
             node, d = np.zeros(len(rows), np.int32), j
             found_rows, found_end, found_label = [], [], []
             while len(rows):
-                node = self.trie[node, grid[d, rows]]
+                node = self.step(node, grid[d, rows])
                 d += 1
                 there = node > 0
                 rows, node = rows[there], node[there]
@@ -321,11 +341,18 @@ assert (OTHER, LETTER, NUMBER) == (0, 1, 2)
 _automata: dict[str, Automaton] = {}
 
 
-def automaton(key: str, labels: list[bytes], merges: list[tuple[int, int]]) -> Automaton:
-    """The automaton of this process for a vocabulary; it and its table serve all tasks of a worker."""
+@lru_cache(4)
+def compiled(path: str) -> tuple[str, Automaton]:
+    """The automaton of a vocabulary file, and a name for what is in it; compiled once, on the driver."""
+    labels = read_ranks(path)
+    return hashlib.sha256(b"\0".join(labels)).hexdigest(), Automaton(labels, merges_of(labels))
+
+
+def automaton(key: str, sent) -> Automaton:
+    """The automaton of this process for a vocabulary, from the broadcast one; it and its table serve all tasks of a worker."""
     if key not in _automata:
         _automata.clear()
-        _automata[key] = Automaton(labels, merges)
+        _automata[key] = sent.value
     return _automata[key]
 
 
@@ -334,15 +361,14 @@ def encode_decode(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}
 
     doc_id, ids, n_tokens, round_trip: one row for each row of docs(doc_id, text).
     """
-    labels = read_ranks(vocabulary)
-    key = hashlib.sha256(b"\0".join(labels)).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast((labels, merges_of(labels)))
+    key, machine = compiled(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(key, *sent.value)
+        machine = automaton(key, sent)
         for batch in batches:
             texts = batch.column(1)
-            for a, b in slices(texts, 3 << 20):
+            for a, b in slices(texts, _SLICE):
                 piece = texts.slice(a, b - a)
                 part = Slice(piece)
                 ids, at = machine.encode(part)

@@ -66,7 +66,7 @@ def segment(docs: pa.Array, part: Slice) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([one(docs, pa.int64()), one(starts, pa.int64()), one(n, pa.int64()), *(pa.array([x], pa.binary()) for x in (terms.tobytes(), counts.tobytes(), packed))], ["doc_ids", "doc_starts", "n_words", "terms", "counts", "positions"])
 
 
-def build_index(docs: DataFrame, segment_bytes: int = 2 << 20) -> DataFrame:
+def build_index(docs: DataFrame, segment_bytes: int = 1 << 20) -> DataFrame:
     """The positional index of docs(doc_id, text) as a stored table of segments of about segment_bytes of text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,8 +125,12 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 256, ridge: float = 1.0) -> Model | None:
     """A model of docs(doc_id, text, lang); None without any labelled text."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and length(text) > 0")
+    # hashes alone are sorted first, so that no more texts are moved than the sample has
+    hashed = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = rows.select("lang", F.xxhash64("doc_id").alias("h")).withColumn("nth", hashed).where(F.col("nth") <= per_language).groupBy("lang").agg(F.max("h").alias("last"))
+    near = rows.join(F.broadcast(last), "lang").where(F.xxhash64("doc_id") <= F.col("last"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    sample = sorted(rows.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "nth", "text").collect())
+    sample = sorted(near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "nth", "text").collect())
     return Model([r["text"] for r in sample], [r["lang"] for r in sample], landmarks, ridge) if sample else None
 
 

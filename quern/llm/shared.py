@@ -29,5 +29,13 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bound the batches that go to Python, which by default have 10,000 texts of any length: several are held at once by each side."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -58,11 +58,11 @@ def simhashes(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum(n[some])])
     salts = [np.uint64(k * 0x5851F42D4C957F2D % (1 << 64)) for k in range(1, 5)]
     a = 0
-    while a < len(some):  # as many documents at a time as have 2**16 words, or one
-        b = max(a + 1, int(np.searchsorted(at, at[a] + (1 << 16), "right")) - 1)
+    while a < len(some):  # as many documents at a time as have 2**15 words, or one
+        b = max(a + 1, int(np.searchsorted(at, at[a] + (1 << 15), "right")) - 1)
         ones = np.zeros((b - a, BITS), np.int64)
-        for lo in range(int(at[a]), int(at[b]), 1 << 18):
-            hi = min(int(at[b]), lo + (1 << 18))
+        for lo in range(int(at[a]), int(at[b]), 1 << 15):
+            hi = min(int(at[b]), lo + (1 << 15))
             bits = np.unpackbits(np.stack([mix(h[lo:hi] + s) for s in salts], 1).view(np.uint8), axis=1, bitorder="little")
             starts = np.maximum(at[a:b], lo) - lo
             here = (at[a:b] < hi) & (at[a + 1 : b + 1] > lo)

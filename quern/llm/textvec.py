@@ -7,6 +7,8 @@ found and hashed by whole-array NumPy operations.
 
 from __future__ import annotations
 
+import ctypes
+import platform
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,7 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+_libc = ctypes.CDLL("libc.so.6") if platform.libc_ver()[0] == "glibc" else None
+if _libc:
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: arrays from 4 MB on go back to the system as they are freed
+    pa.set_memory_pool(pa.system_memory_pool())
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
@@ -60,7 +66,7 @@ def _pow(which: str, n: int) -> np.ndarray:
     """At least n powers of the base (or of its inverse) modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(1 << 21, 1 << (n - 1).bit_length())
+        size = max(1 << 20, 1 << (n - 1).bit_length())
         a = np.ones(size, np.uint64)
         a[1:] = np.uint64(_BASE if which == "up" else _INVERSE)
         have = _powers[which] = np.cumprod(a)
@@ -86,6 +92,14 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
         b = max(a + 1, int(np.searchsorted(size, base + limit, "right")))
         yield a, b
         a = b
+    release()
+
+
+def release() -> None:
+    """Give memory that was freed back to the system: a worker lives on between stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
 
 
 class Slice:
