@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe
@@ -31,25 +31,33 @@ COUNTS = "doc_id bigint, source string, lang string, tokenizer string, n_tokens
 DELTA = "source string, lang string, tokenizer string, documents bigint, tokens bigint"
 
 
-def count_tokens(docs: DataFrame, tokenizer: str, vocabulary: str) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str, vocabulary: str, anew: Column | None = None) -> DataFrame:
     """doc_id, source, lang, tokenizer, n_tokens for each row of docs(doc_id, text, source, lang).
 
-    tokenizer names the version under which the counts of this vocabulary file stand.
+    tokenizer names the version under which the counts of this vocabulary file stand.  With anew, another text
+    of each row, n_anew is its count, from the same pass; rows where it is the same text aren't counted twice.
     """
-    labels = bpe.read_ranks(vocabulary)
-    key = hashlib.sha256(b"\0".join(labels)).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast((labels, bpe.merges_of(labels)))
+    key, machine = bpe.compiled(vocabulary)
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    text = F.col("text").cast("string")
+    other = F.when(~anew.eqNullSafe(text), anew) if anew is not None else F.lit(None).cast("string")
+
+    def counted(machine: bpe.Automaton, texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *(np.diff(machine.encode(Slice(texts.slice(a, b - a)))[1]) for a, b in slices(texts))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = bpe.automaton(key, *sent.value)
+        machine = bpe.automaton(key, sent)
         for batch in batches:
-            texts = batch.column(3)
-            for a, b in slices(texts, 2 << 20):
-                _, at = machine.encode(Slice(texts.slice(a, b - a)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), pa.array([tokenizer] * (b - a), pa.string()), pa.array(np.diff(at))], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
+            n = counted(machine, batch.column(3))
+            also = n.copy()
+            differs = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False))
+            if len(differs):
+                also[differs] = counted(machine, batch.column(4).take(pa.array(differs)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([tokenizer] * len(n), pa.string()), pa.array(n), pa.array(also)], ["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_anew"])
 
-    columns = (F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang", "text")))
-    return docs.select(*columns).mapInArrow(work, COUNTS)
+    columns = (F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang")), text.alias("text"), other.alias("anew"))
+    out = docs.select(*columns).mapInArrow(work, COUNTS + ", n_anew bigint")
+    return out if anew is not None else out.drop("n_anew")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def jvm_error() -> type[Exception]:
 VERSIONS = {"byte_bpe_50k": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k": "byte_bpe_multi_50k.tiktoken"}
 
 
-def without_repeated_lines(text) -> object:
+def without_repeated_lines(text: Column) -> Column:
     """A text with each of its lines once, in the order of first occurrence."""
     return F.array_join(F.array_distinct(F.split(text, "\n")), "\n")
 
@@ -166,15 +174,15 @@ def maintained(spark: SparkSession, sf_dir: str, folder: str | None = None, toke
     labelled toxic are deleted; revise: those labelled of low quality, not withdrawn, are counted anew without repeated lines.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    labels = table(spark, sf_dir, "labels")
-    toxic = labels.where("toxic = 1").select("doc_id").distinct()
-    low = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
+    flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.bool_or(F.col("toxic") == 1).alias("toxic"), F.bool_or(F.col("quality") == 0).alias("low"))
     store = Store(spark, folder or new_folder(spark, "rollup"))
     for version, file in VERSIONS.items():
-        counts = stored(count_tokens(docs, version, f"{tokenizers}/{file}"), "counts")
+        # texts are read and counted in one pass; only counts meet the labels
+        counts = stored(count_tokens(docs, version, f"{tokenizers}/{file}", without_repeated_lines(F.col("text"))), "counts")
+        counts = stored(counts.join(flags, "doc_id", "left"), "flagged")
         store.commit(f"load/{version}", inserts(counts))
         store.commit(f"load/{version}", inserts(counts))
-        store.commit(f"withdraw/{version}", deletes(counts.join(toxic, "doc_id", "left_semi")))
-        anew = docs.join(low, "doc_id", "left_semi").withColumn("text", without_repeated_lines("text"))
-        store.commit(f"revise/{version}", revisions(counts.join(low, "doc_id", "left_semi"), count_tokens(anew, version, f"{tokenizers}/{file}")))
+        store.commit(f"withdraw/{version}", deletes(counts.where("toxic")))
+        low = counts.where("low and not coalesce(toxic, false)")
+        store.commit(f"revise/{version}", revisions(low, low.withColumn("n_tokens", F.col("n_anew"))))
     return store.totals()
