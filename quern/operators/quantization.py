@@ -71,11 +71,11 @@ def ratio(dimension: int, bits: int) -> float:
 def pack_bits(code: Column, bits: int = 4) -> Column:
     """Two 4-bit codes in a byte, the first in the low half, as hexadecimal digits; or one of 8 bits."""
     if bits == 8:
-        return F.array_join(F.transform(code, lambda c: F.lpad(F.hex(c), 2, "0")), "")
+        return F.array_join(F.transform(code, lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
     if bits != 4:
         raise ValueError("4 or 8 bits")
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(code) / 2).cast("int") - 1)), lambda i: F.get(code, 2 * i) + 16 * F.coalesce(F.get(code, 2 * i + 1), F.lit(0)))
-    return F.array_join(F.transform(pairs, lambda c: F.lpad(F.hex(c), 2, "0")), "")
+    return F.array_join(F.transform(pairs, lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
 
 
 def unpack_bits(packed: Column, size: Column, bits: int = 4) -> Column:

@@ -14,7 +14,7 @@ POINTS = [(1, [0.0, 0, 0], "origin"), (2, [1.0, 0, 0], "x"), (3, [0.0, 1, 0], "y
 
 @pytest.fixture(scope="module")
 def points(spark):
-    return spark.createDataFrame([(i, v, {"type": t}) for i, v, t in POINTS], "id long, vector array<float>, metadata map<string,string>")
+    return spark.createDataFrame([(i, [float(x) for x in v], {"type": t}) for i, v, t in POINTS], "id long, vector array<float>, metadata map<string,string>")
 
 
 def ids(df):
@@ -67,7 +67,7 @@ def test_approximate_searches_keep_recall(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
     exact = knn.knn(v, v, 10, "l2")
     two = quantization.knn_two_stage(v, v, 10)
-    ivf = knn.knn_ivf(v, v, clustering.fit(v, 16), 10, 10)
+    ivf = knn.knn_ivf(v, v, clustering.fit(v, 16), 10, 13)
     truth = knn.knn(v, v, 10, "cosine")
     assert knn.recall(two, exact, 10).agg(F.avg("recall")).first()[0] > 0.95
     assert knn.recall(ivf, truth, 10).agg(F.avg("recall")).first()[0] > 0.9
