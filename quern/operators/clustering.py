@@ -74,7 +74,7 @@ def silhouette(vectors: DataFrame, assignments: DataFrame, block: int = K.BLOCK)
                     continue
                 clusters, which = np.unique(v[:, 0], return_inverse=True)
                 one = np.eye(len(clusters))[which]
-                total = K.distances(q, np.ascontiguousarray(v[:, 1:]), "l2") @ one
+                total = K.distances(q, np.ascontiguousarray(v[:, 1:]), "l2", 12) @ one  # means of six decimals would tie at the seventh
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, len(clusters))), pa.array(np.tile(clusters.astype(np.int64), len(q))), pa.array(total.ravel()), pa.array(np.tile(one.sum(axis=0).astype(np.int64), len(q)))], ["id", "other", "total", "n"])
 
     by = sums.mapInArrow(work, "id bigint, other bigint, total double, n bigint").groupBy("id", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -60,7 +60,7 @@ def _matrix(batch: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.
     return np.frombuffer(get("ids").as_buffer(), np.int64), np.frombuffer(get("values").as_buffer(), np.float64).reshape(-1, get("width").as_py())
 
 
-def distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+def distances(q: np.ndarray, v: np.ndarray, metric: str, digits: int = 6) -> np.ndarray:
     """Rounded distances of all rows of q and v; cosine of a vector without length is 1, dot is negated."""
     if metric == "l2":
         d = np.empty((len(q), len(v)))
@@ -74,7 +74,7 @@ def distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
         d = 1 - np.divide(q @ v.T, scale, out=np.zeros_like(scale), where=scale > 0)
     else:
         raise ValueError(f"unknown metric {metric!r}; known: cosine, l2, dot")
-    return np.round(d, 6) + 0.0
+    return np.round(d, digits) + 0.0
 
 
 def _crossed(queries: DataFrame, vectors: DataFrame, metric: str, k: int | None, radius: float | None, block: int) -> DataFrame:

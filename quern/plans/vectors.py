@@ -239,7 +239,7 @@ ORACLE_SQL = {
     "cluster_quality": f"""WITH {_V}, {_C}, m AS (SELECT a.label::BIGINT AS cluster_id, count(*) AS size, avg(list_distance(a.v, b.v)) AS intra FROM v a JOIN c b ON a.label = b.id GROUP BY ALL),
         o AS (SELECT a.id AS cluster_id, min(list_distance(a.v, b.v)) AS inter FROM c a JOIN c b ON a.id <> b.id GROUP BY ALL)
         SELECT cluster_id, size, round(intra, 6) AS intra, round(inter, 6) AS inter, round((inter - intra) / greatest(inter, intra), 6) + 0.0 AS silhouette, round(abs(size - avg(size) OVER ()) / avg(size) OVER (), 6) + 0.0 AS imbalance FROM m JOIN o USING (cluster_id)""",
-    "cluster_silhouette": f"""WITH {_V}, p AS (SELECT a.id, a.label, b.label AS other, sum({_L2}) AS total, count(*) AS n FROM v a, v b GROUP BY ALL),
+    "cluster_silhouette": f"""WITH {_V}, p AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.v, b.v)) AS total, count(*) AS n FROM v a, v b GROUP BY ALL),
         q AS (SELECT id, label::BIGINT AS cluster_id, max(CASE WHEN label = other THEN total / (n - 1) END) AS a, min(CASE WHEN label <> other THEN total / n END) AS b FROM p GROUP BY ALL)
         SELECT id, cluster_id, round(a, 6) AS a, round(b, 6) AS b, round((b - a) / greatest(a, b), 6) + 0.0 AS silhouette FROM q""",
     "cluster_rebalance": """WITH s AS (SELECT least(label, 5)::BIGINT AS cluster_id, count(*) AS size FROM embeddings GROUP BY ALL), m AS (SELECT *, avg(size) OVER () AS mean FROM s)
