@@ -78,15 +78,16 @@ class Finder:
         self.patterns = [regex.compile(f"(?b)(?:{regex.escape(t, literal_spaces=True)}){{e<={k}}}") for t, k in zip(self.texts, self.edits)]
 
     def best(self, i: int, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
-        """Spans of notice i in text[lo:hi] and their edits, the best first and then on either side of it."""
-        if hi - lo < len(self.texts[i]) - self.edits[i]:
-            return
-        m = self.patterns[i].search(text[lo:hi])
-        if m:
-            a, b = lo + m.start(), lo + m.end()
-            yield from self.best(i, text, lo, a)
-            yield a, b, sum(m.fuzzy_counts)
-            yield from self.best(i, text, b, hi)
+        """Spans of notice i in text[lo:hi] and their edits, the best taken first and then those on either side of it; in the order of the text."""
+        least = len(self.texts[i]) - self.edits[i]
+        left = [(lo, hi, None)]
+        while left:
+            lo, hi, found = left.pop()
+            if found:
+                yield found
+            elif hi - lo >= least and (m := self.patterns[i].search(text[lo:hi])):
+                a, b = lo + m.start(), lo + m.end()
+                left += [(b, hi, None), (a, b, (a, b, sum(m.fuzzy_counts))), (lo, a, None)]
 
     def scan(self, text: str, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Text, notice, start, end and edits of each match in the folded texts text[at[d]:at[d+1]]."""

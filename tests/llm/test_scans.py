@@ -43,6 +43,23 @@ def test_notices_equal_a_scan_without_seeds(spark):
     assert got == want
 
 
+def test_thousands_of_adjacent_notices_equal_a_scan_without_seeds(spark):
+    names = ["all-rights-reserved", "mit"]
+    texts = {1: license_scan.NOTICES[names[0]] * 4000, 2: f"{license_scan.NOTICES[names[1]]}\n" * 3000, 3: "All rigts reserved.\n" * 500}
+    notices = {n: license_scan.NOTICES[n] for n in names}
+    finder = license_scan.Finder(notices)
+    want = []
+    for doc_id, text in texts.items():
+        low = license_scan.fold(text)
+        for k, name in enumerate(names):
+            at = 0
+            while m := finder.patterns[k].search(low, at):
+                want.append((doc_id, name, m.start(), m.end(), sum(m.fuzzy_counts)))
+                at = m.end()
+    got = [tuple(r) for r in license_scan.find_notices(docs_of(spark, list(texts.items())), notices).collect()]
+    assert len(want) == 7500 and sorted(got) == sorted(want)
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[a-z]+") is True and secrets.trigram_query("ab") is True
     assert secrets.trigram_query("abcd") == ("and", [b"abc", b"bcd"])
