@@ -10,11 +10,14 @@ One-versus-rest kernel ridge regression on z has targets 1 and -1.  It is fitted
 `per_language` labelled texts of each language, those of the lowest hash of doc_id; all
 other texts are only scored.
 
-Scoring.  A batch of texts is a 0/1 matrix; its product with the landmarks' matrix gives all kernels, and a
-second product all scores.  A text is rejected where no language claims it: its highest score is
+Scoring.  The kernel with a landmark sinks as a text fills the buckets, so texts are scored in successive pieces of
+like length, of at most `PIECE` letters and blanks.  A batch of pieces is a 0/1 matrix; its product with the landmarks' matrix gives all
+kernels, and a second product all scores.  A text's scores are the means over its pieces.  It is rejected where no
+language claims it: the mean of its pieces' highest scores, each under a language of its own, is
 below `threshold`, or it has no letters.  What shares next to nothing with the landmarks scores about the
-regression's constant, -0.3 to -0.6 with four languages.  A text with fewer than `evidence` features, some
-twenty letters, is too short to be told from that and is accepted under the language that scores highest.
+regression's constant, -0.3 to -0.6 with four languages.  A piece with fewer than `evidence` features, some
+twenty letters, is too short to be told from that and doesn't count beside others; a text of such pieces
+only is accepted under the language that scores highest.
 
 Null and empty texts, and those without letters, have no language and are rejected, with null scores.
 Null labels aren't learned from.  Where two languages score alike the first by name is chosen.  Where
@@ -35,6 +38,7 @@ from quern.llm.textvec import LETTER, Slice, classes, lower_table, slices
 
 DIMENSION = 1 << 14
 ORDERS = (1, 2, 3, 4)
+PIECE = 1024
 RESULT = "doc_id bigint, language string, score double, margin double, accepted boolean"
 
 
@@ -44,10 +48,8 @@ def _folded() -> np.ndarray:
     return np.where(classes() == LETTER, lower_table(), np.uint32(32))
 
 
-def presence(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the texts of a slice as a 0/1 matrix, and whether each has letters."""
-    out = np.zeros((part.n, DIMENSION), np.float32)
-    flat = out.reshape(-1)
+def folded(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts of a slice in letters and single blanks, their offsets, and whether each has letters."""
     low = _folded()[part.cp]
     doc = np.repeat(np.arange(part.n, dtype=np.int64), np.diff(part.at))
     letters = low != 32
@@ -55,7 +57,18 @@ def presence(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     # one blank for several
     keep = np.ones(len(low), bool)
     keep[1:] = letters[1:] | letters[:-1] | (doc[1:] != doc[:-1])
-    low, doc = low[keep], doc[keep]
+    at = np.zeros(part.n + 1, np.int64)
+    np.cumsum(np.bincount(doc[keep], minlength=part.n), out=at[1:])
+    return low[keep], at, has
+
+
+def features(low: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Features of folded texts low[at[i]:at[i + 1]] as a 0/1 matrix."""
+    n_texts = len(at) - 1
+    out = np.zeros((n_texts, DIMENSION), np.float32)
+    flat = out.reshape(-1)
+    low = low[at[0] : at[-1]]
+    doc = np.repeat(np.arange(n_texts, dtype=np.int64), np.diff(at))
     base = doc * DIMENSION
     code = np.zeros(len(low), np.uint32)
     with np.errstate(over="ignore"):
@@ -70,7 +83,22 @@ def presence(part: Slice) -> tuple[np.ndarray, np.ndarray]:
                 at = base[:m] + h
                 inside = doc[:m] == doc[n - 1 :]
                 flat[at[inside]] = 1
-    return out, has
+    return out
+
+
+def presence(part: Slice) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the texts of a slice as a 0/1 matrix, and whether each has letters."""
+    low, at, has = folded(part)
+    return features(low, at), has
+
+
+def pieces(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the pieces of texts with offsets at, and each text's first piece."""
+    size = np.diff(at)
+    count = np.maximum(1, -(-size // PIECE))
+    first = np.cumsum(count) - count
+    nth = np.arange(count.sum()) - np.repeat(first, count)
+    return np.append(np.repeat(at[:-1], count) + np.repeat(size, count) * nth // np.repeat(count, count), at[-1]), first
 
 
 def _batches(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
@@ -121,6 +149,19 @@ class Model:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return self.kernel(x) @ self.weights + self.bias
 
+    def claims(self, part: Slice, evidence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the texts of a slice, the means of their pieces' highest scores, whether each has letters, and whether no piece has evidence."""
+        low, at, has = folded(part)
+        cut, first = pieces(at)
+        s, known = np.zeros((len(cut) - 1, len(self.languages))), np.zeros(len(cut) - 1, bool)
+        for a in range(0, len(known), 256):
+            x = features(low, cut[a : a + 257])
+            s[a : a + 256], known[a : a + 256] = self.scores(x), x.sum(axis=1) >= evidence
+        few = ~np.logical_or.reduceat(known, first)
+        weight = known | np.repeat(few, np.diff(np.append(first, len(known))))
+        total = np.add.reduceat(weight, first, dtype=np.int64)
+        return np.add.reduceat(s * weight[:, None], first) / total[:, None], np.add.reduceat(s.max(axis=1) * weight, first) / total, has, few
+
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 256, ridge: float = 1.0) -> Model | None:
     """A model of docs(doc_id, text, lang); None without any labelled text."""
@@ -147,20 +188,19 @@ def identify(docs: DataFrame, model: Model | None = None, threshold: float = -0.
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            for a, b in _batches(batch.column(1)):
+            for a, b in slices(batch.column(1)):
                 if model is None:
                     has = few = np.zeros(b - a, bool)
-                    best, language, margin = np.zeros(b - a), np.zeros(b - a, int), np.zeros(b - a)
+                    best, claim, language, margin = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a, int), np.zeros(b - a)
                 else:
-                    x, has = presence(Slice(batch.column(1).slice(a, b - a)))
-                    s, few = model.scores(x), x.sum(axis=1) < evidence
+                    s, claim, has, few = model.claims(Slice(batch.column(1).slice(a, b - a)), evidence)
                     language = s.argmax(axis=1)
                     best = s.max(axis=1)
                     s[np.arange(len(s)), language] = -np.inf
                     margin = best - s.max(axis=1) if s.shape[1] > 1 else np.full(len(s), np.nan)
                 names = np.array(model.languages if model else [""], object)[language]
                 none = ~has
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string(), mask=none), pa.array(best, mask=none), pa.array(margin, mask=none | np.isnan(margin)), pa.array(has & ((best >= threshold) | few)), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "language", "score", "margin", "accepted", *columns[2:]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string(), mask=none), pa.array(best, mask=none), pa.array(margin, mask=none | np.isnan(margin)), pa.array(has & ((claim >= threshold) | few)), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "language", "score", "margin", "accepted", *columns[2:]])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns[2:])
     return rows.mapInArrow(work, RESULT + extra)

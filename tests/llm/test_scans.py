@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from quern.llm import decontam, langid, license_scan, secrets, sharding, warc
 from quern.llm.shared import table
@@ -122,6 +123,28 @@ def test_languages_on_held_out_documents(spark):
     assert np.mean([got[i][0] == want[i][0] for i in long]) > 0.95 and np.mean([got[i][1] for i in want]) > 0.95
 
 
+def test_long_texts_and_texts_of_several_languages_are_claimed(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").where("text is not null and doc_id % 2 = 1")
+    model = langid.fit(table(spark, "/root/testdata/sf0.1", "documents").where("doc_id % 2 = 0"))
+    by = {r["lang"]: " ".join(r["t"]) for r in docs.groupBy("lang").agg(F.sort_array(F.collect_list("text")).alias("t")).collect() if r["lang"]}
+    mixed = " ".join(r["text"] for r in docs.orderBy(F.xxhash64("doc_id")).limit(800).collect())
+    few = " ".join(t[i : i + 20_000] for i in range(0, 200_000, 20_000) for t in by.values())
+    signs = np.random.default_rng(5).choice(list("abcdefghijklmnopqrstuvwxyz     "), 1_000_000)
+    texts = [("en", (by["en"] * 2)[:5_000_000]), *((n, t[:1_500_000]) for n, t in by.items()), ("mixed", mixed), ("few", few), ("none", "".join(signs)), ("none", "".join(signs[:3000]))]
+    rows = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(rows, model).collect()}
+    for i, (name, _) in enumerate(texts):
+        assert got[i]["accepted"] == (name != "none"), (i, name, got[i])
+        if name in by:
+            assert got[i]["language"] == name and got[i]["score"] > 0.5, (i, name, got[i])
+
+
+def test_pieces_cover_texts(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 10)
+    cut, first = langid.pieces(np.array([0, 10, 10, 35, 36]))
+    assert cut.tolist() == [0, 10, 10, 18, 26, 35, 36] and first.tolist() == [0, 1, 2, 5]
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([(1, None, "en", "x"), (2, "", "en", "x"), (3, "123 !!", "en", "x"), (4, "the cat and the dog", "en", "x"), (5, "le chat et le chien", "fr", "x"), (None, "the cat and the dog", None, "x")], "doc_id long, text string, lang string, row string")
     got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
