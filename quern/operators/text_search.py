@@ -143,7 +143,9 @@ def fuzzy_terms(vocabulary: DataFrame, wanted: DataFrame, most: int = 2) -> Data
     v = vocabulary.toDF("term").where("term is not null").distinct().withColumn("m", F.length("term"))
     sizes = seeds.select(F.length("piece").alias("size")).distinct()
     cut = v.join(F.broadcast(sizes), F.col("m") >= F.col("size")).select("term", "m", F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - F.col("size")), lambda i: F.struct(i.alias("spot"), F.substring(F.col("term"), i + 1, F.col("size")).alias("piece")))).alias("c")).select("term", "m", "c.spot", "c.piece")
-    near = cut.join(seeds, ["piece", "spot"]).where(F.abs(F.col("m") - F.col("n")) <= most).select("wanted", "term").distinct()
+    # candidates are compared where they meet, so that only pairs that are near are shuffled again
+    close = F.levenshtein("wanted", "term", most)
+    near = cut.join(seeds, ["piece", "spot"]).where((F.abs(F.col("m") - F.col("n")) <= most) & close.between(1, most)).select("wanted", "term").distinct()
     short = w.where(F.col("n") < parts).join(v.where(F.col("m") < parts + most), F.abs(F.col("m") - F.col("n")) <= most).select("wanted", "term")
     out = near.unionByName(short).withColumn("distance", F.levenshtein("wanted", "term")).where(F.col("distance").between(1, most))
     return out.withColumn("score", F.round(1 / (F.col("distance") + 1), 6))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import functions as F
 
+from quern.functions import lexicons as L
 from quern.functions import text as T
 from quern.operators import content as C
 from quern.operators import feedback as B
 from quern.operators import fusion
 from quern.operators import text_search as S
+from quern.plans import registry
 
 DOCS = [(1, "The quick brown fox jumps over the lazy dog"), (2, "A brown fox is quick and clever"), (3, "Machine learning is a kind of artificial intelligence"), (4, "Deep learning needs data"), (5, None), (6, "")]
 
@@ -78,3 +81,27 @@ def test_ctr(spark):
     assert (r["ctr"], r["avg_position"], r["avg_dwell"], r["confidence"]) == (0.3, 1.0, 40.0, round(1 - 1 / 11, 6))
     assert B.ctr(x.limit(0), "document_id").collect() == [] and B.satisfaction(x).count() == 10
     assert B.anomalies(x.unionByName(x).unionByName(x).unionByName(x)).first()["anomaly"] == "rapid_clicking"
+
+
+def test_fuzzy_terms_over_all_terms_equal_brute_force(spark, tmp_path):
+    docs = ["Élève café cafés naïve naive ñandú", "straße strasse größe grosse Grüße müller", "the élevé cafe niño nino año ano ab3 ab4", "übermäßig uebermassig é ü xy xz", None]
+    items = ["eleve café niños strase", "grüsse größen ab5 übermässig naives", "xyz ñandu", ""]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def terms(texts):
+        found = {w for t in texts if t for w in regex.findall(r"[\p{L}\p{Nd}]+", t.lower())}
+        return {w for w in found if w not in L.SEARCH_STOP and len(w.encode()) > 1}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(a, b, d, round(1 / (d + 1), 6)) for a in terms(items) for b in terms(docs) if 1 <= (d := distance(a, b)) <= 2}
+    rows = [tuple(r) for r in registry.QUERIES["fuzzy_terms_all"](spark, str(tmp_path)).select("wanted", "term", "distance", "score").collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert any(not a.isascii() and d == 2 for a, _, d, _ in want) and any(d == 1 and not b.isascii() for _, b, d, _ in want)
