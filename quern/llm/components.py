@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.shared import stored
+from quern.llm.shared import kept, scratch, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,14 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Nulls are no nodes, and loops and repeated edges change nothing.
     """
-    edges = stored(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").distinct(), "edges")
     signs = (F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
-    before = edges.agg(*signs).first()
-    while True:
-        edges = stored(_star(_star(edges, True), False), "edges")
-        now = edges.agg(*signs).first()
-        if now == before:
-            break
-        before = now
+    with scratch(edges.sparkSession):  # the rounds before the last
+        edges = stored(edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b").distinct(), "edges")
+        before = edges.agg(*signs).first()
+        while True:
+            edges = stored(_star(_star(edges, True), False), "edges")
+            now = edges.agg(*signs).first()
+            if now == before:
+                break
+            before = now
+        edges = kept(edges, "stars")
     # a fixed point is one star for each component
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all tasks run on this machine."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -26,9 +33,37 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, what)
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables stored within it: for work whose result was stored elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """As stored, for what outlives the scope at hand."""
+    inner = _scopes.pop() if _scopes else None
+    try:
+        return stored(df, what)
+    finally:
+        if inner is not None:
+            _scopes.append(inner)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bound the batches that go to Python, which by default have 10,000 texts of any length: several are held at once by each side."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:

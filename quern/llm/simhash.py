@@ -6,11 +6,14 @@ cosine of 0.83 of the word sets); groups are the connected components of near do
 the lowest doc_id of each is kept.
 
 Equal fingerprints are joined first.  Then every fingerprint stands in `tables` of buckets, by
-`bits` sampled bits each: so many tables that a pair just within the radius shares a bucket
-of some table with probability `recall`, nearer pairs with more.  The sampled bits grow with the logarithm
-of the number of fingerprints, so buckets don't grow with the corpus.
-
-Within buckets the comparison is exact and bit-sliced.  Fingerprints are stored as bit planes,
+`bits` sampled bits each: so many tables that a pair at exactly the radius shares a bucket
+of some table with probability `recall` (0.99), nearer pairs with more (at 40 bits 0.9998).  No scheme for 48 of 256 bits that can
+miss none is within reach: by the pigeonhole principle it would take 49 tables of five bits.  Up to 2**27 fingerprints
+there are 16 bits and 141 tables; beyond, one bit more each time their number doubles keeps buckets from growing.
+
+Within buckets the comparison is exact and bit-sliced.  A bucket of more than `HOT` rows is cut in parts that are compared
+each in itself; then all rows that aren't of the bucket's largest component so far are compared with all its
+parts, so what two parts have in common is found as well.  Fingerprints are stored as bit planes,
 64 to a word; a word of one plane against the same plane shifted by s places gives the bit
 where 64 pairs differ.  Carry-save adders count these in vertical counters for all
 pairs at once, and a block of 64 pairs is left as soon as all of them exceed the radius.  Of the
@@ -37,11 +40,25 @@ from quern.llm.textvec import Slice, mix, slices, spread
 
 BITS = 256
 RADIUS = 48
-RECALL = 0.9
+RECALL = 0.99
 _FP = ["p0", "p1", "p2", "p3"]
 _FP_TYPE = "p0 bigint, p1 bigint, p2 bigint, p3 bigint"
 _TASKS = 1 << 14
 _BLOCK = 1 << 15
+HOT = 1 << 15  # rows of a bucket from which on it is cut in parts
+
+
+def _lanes() -> np.ndarray:
+    """For each byte its bits, one in each byte of a word: such words count eight bits by one addition."""
+    v = np.arange(256, dtype=np.uint64)
+    out = np.zeros(256, np.uint64)
+    for b in range(8):
+        out |= (v >> np.uint64(b) & np.uint64(1)) << np.uint64(8 * b)
+    return out
+
+
+_LANES = _lanes()
+_RUN = 255  # words that a lane can count
 
 
 def simhashes(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -54,21 +71,20 @@ def simhashes(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     once.sort()
     h, doc = h[once], doc[once]
     n = np.bincount(doc, minlength=part.n)
-    some = np.flatnonzero(n)
-    at = np.concatenate([[0], np.cumsum(n[some])])
     salts = [np.uint64(k * 0x5851F42D4C957F2D % (1 << 64)) for k in range(1, 5)]
+    run = np.flatnonzero((np.arange(len(h)) - (np.cumsum(n) - n)[doc]) % _RUN == 0)  # where runs of one text begin
+    counts = np.zeros((len(run), BITS), np.uint8)
     a = 0
-    while a < len(some):  # as many documents at a time as have 2**15 words, or one
-        b = max(a + 1, int(np.searchsorted(at, at[a] + (1 << 15), "right")) - 1)
-        ones = np.zeros((b - a, BITS), np.int64)
-        for lo in range(int(at[a]), int(at[b]), 1 << 15):
-            hi = min(int(at[b]), lo + (1 << 15))
-            bits = np.unpackbits(np.stack([mix(h[lo:hi] + s) for s in salts], 1).view(np.uint8), axis=1, bitorder="little")
-            starts = np.maximum(at[a:b], lo) - lo
-            here = (at[a:b] < hi) & (at[a + 1 : b + 1] > lo)
-            ones[here] += np.add.reduceat(bits, starts[here], axis=0, dtype=np.int32)
-        out[some[a:b]] = np.packbits(2 * ones > n[some[a:b], None], axis=1, bitorder="little").view(np.uint64)
+    while a < len(run):
+        b = max(a + 1, int(np.searchsorted(run, run[a] + (1 << 14))))
+        lo, hi = run[a], run[b] if b < len(run) else len(h)
+        hashed = np.stack([mix(h[lo:hi] + s) for s in salts], 1).view(np.uint8)
+        counts[a:b] = np.add.reduceat(_LANES[hashed], run[a:b] - lo, axis=0).view(np.uint8)
         a = b
+    of = doc[run]
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    ones = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+    out[of[first]] = np.packbits(2 * ones > n[of[first], None], axis=1, bitorder="little").view(np.uint64)
     return out, n > 0
 
 
@@ -98,9 +114,9 @@ def sampled_bits(tables: int, bits: int, seed: int = 20) -> np.ndarray:
 
 
 def plan(n: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
-    """Tables and sampled bits for n fingerprints."""
-    bits = min(60, max(16, math.ceil(math.log2(max(1, n) / 256))))
-    same = (1 - radius / BITS) ** bits
+    """Tables and sampled bits for n fingerprints: 16 bits, and one more each time n doubles from 2**27 on."""
+    bits = min(60, max(16, math.ceil(math.log2(max(1, n) / 2048))))
+    same = math.comb(BITS - radius, bits) / math.comb(BITS, bits)  # distinct bits, none of which differs
     return math.ceil(math.log(1 - recall) / math.log(1 - same)), bits
 
 
@@ -190,11 +206,12 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> np.ndarra
 
 
 def _bucket_edges(rows: DataFrame, radius: int) -> DataFrame:
-    """a, b: a spanning forest of the near pairs in each bucket of rows(key, node, p0..p3), which are sorted by key."""
+    """a, b: a spanning forest of the near pairs in each bucket, or part of one, of rows(key, part, node, p0..p3)."""
 
-    def edges(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        change = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(change, len(key)))
+    def edges(all_: np.ndarray) -> pa.RecordBatch:
+        node, fp = all_[:, 2], all_[:, 3:].view(np.uint64)
+        change = np.flatnonzero(np.concatenate([[True], (all_[1:, :2] != all_[:-1, :2]).any(axis=1)]))
+        sizes = np.diff(np.append(change, len(all_)))
         by = np.argsort(sizes, kind="stable")
         by = by[sizes[by] > 1]
         rows = spread(change[by], sizes[by])
@@ -206,22 +223,61 @@ def _bucket_edges(rows: DataFrame, radius: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(node[rows[low]]), pa.array(node[rows[label[low]]])], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # key, node and fingerprint in rows of six
+        held: list[np.ndarray] = []  # key, part, node and fingerprint in rows of seven
         n = 0
         for batch in batches:
             held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
             n += batch.num_rows
-            if n >= _BLOCK:
+            if n >= _BLOCK and (held[0][0, :2] != held[-1][-1, :2]).any():  # the last bucket may go on
                 all_ = np.concatenate(held)
-                cut = int(np.searchsorted(all_[:, 0], all_[-1, 0], "left"))  # the last bucket may go on
-                if cut:
-                    yield edges(all_[:cut, 0], all_[:cut, 1], all_[:cut, 2:].view(np.uint64))
+                cut = int(np.flatnonzero((all_[:, :2] != all_[-1, :2]).any(axis=1))[-1]) + 1
+                yield edges(all_[:cut])
                 held, n = [all_[cut:].copy()], len(all_) - cut
         if n:
-            all_ = np.concatenate(held)
-            yield edges(all_[:, 0], all_[:, 1], all_[:, 2:].view(np.uint64))
+            yield edges(np.concatenate(held))
+
+    return rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "node", *_FP).mapInArrow(work, "a bigint, b bigint")
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(work, "a bigint, b bigint")
+
+def _hot(nodes: DataFrame, tables: int, bits: int, hot: int) -> DataFrame:
+    """key, parts of buckets with about `hot` rows and more, by one fingerprint of 64; how a bucket is cut changes no result."""
+    some = _keys(nodes.where(F.pmod(F.xxhash64("node"), F.lit(64)) == 0), tables, bits)
+    size = F.count(F.lit(1)) * 64
+    return some.groupBy("key").agg(size.alias("size")).where(F.col("size") >= hot).select("key", F.ceil(F.col("size") / hot).cast("bigint").alias("parts"))
+
+
+def _across(rows: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
+    """a, b: the near pairs of rows(key, part, parts, node, p0..p3), buckets cut in parts, that are in different components by roots(node, root).
+
+    Of each bucket one component, its largest, isn't compared with itself; all other rows are compared with every part.  So a bucket
+    filled by one group of copies takes time in proportion to its rows.
+    """
+    rows = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
+    rows = stored(rows.join(by, "key").withColumn("minor", F.col("root") != F.col("major")), "hot")
+    minor = rows.where("minor").groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("bigint").alias("blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    here = rows.join(minor, "key").select("key", "part", every(F.col("blocks")).alias("block"), F.lit(False).alias("asks"), "node", "root", *_FP)
+    asks = rows.where("minor").join(minor, "key").select("key", every(F.col("parts")).alias("part"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(True).alias("asks"), "node", "root", *_FP)
+
+    def work(part: pa.Table) -> pa.Table:
+        node, root = part["node"].to_numpy(), part["root"].to_numpy()
+        fp = np.stack([part[c].to_numpy() for c in _FP], axis=1).view(np.uint64)
+        asks = part["asks"].to_numpy(zero_copy_only=False)
+        q, v, out = np.flatnonzero(asks), np.flatnonzero(~asks), [np.zeros((0, 2), np.int64)]
+        for a in range(0, len(q), 256):
+            mine = q[a : a + 256]
+            for b in range(0, len(v), 4096):
+                own = v[b : b + 4096]
+                differ = np.zeros((len(mine), len(own)), np.uint16)
+                for k in range(4):
+                    differ += np.bitwise_count(fp[mine, None, k] ^ fp[None, own, k])
+                i, j = np.nonzero((differ <= radius) & (root[mine][:, None] != root[own][None, :]))
+                out.append(np.stack([node[mine[i]], node[own[j]]], axis=1))
+        found = np.concatenate(out)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return here.unionByName(asks).groupBy("key", "part", "block").applyInArrow(work, "a bigint, b bigint")
 
 
 def _keys(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
@@ -242,15 +298,26 @@ def _keys(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
     return nodes.select("node", *_FP).mapInArrow(work, f"key bigint, node bigint, {_FP_TYPE}")
 
 
-def _groups(prints: DataFrame, radius: int, recall: float) -> DataFrame:
+def _groups(prints: DataFrame, radius: int, recall: float, hot: int = HOT) -> DataFrame:
     """p0..p3, root for every fingerprint of prints(doc_id, p0..p3)."""
     own = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64(*_FP)))  # a node of its own where all its ids are null
     nodes = stored(prints.where("p0 is not null").groupBy(*_FP).agg(own.alias("node")), "nodes")
     # one doc_id may stand for several texts: nodes are told apart by fingerprint then
     several = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    nodes = nodes.join(several.withColumn("twice", F.lit(True)), "node", "left").select(F.when(F.col("twice"), -F.abs(F.xxhash64(*_FP))).otherwise(F.col("node")).alias("node"), *_FP)
-    edges = _bucket_edges(_keys(nodes, *plan(nodes.count(), radius, recall)), radius)
-    roots = components(edges)
+    if not several.isEmpty():
+        nodes = nodes.join(several.withColumn("twice", F.lit(True)), "node", "left").select(F.when(F.col("twice"), -F.abs(F.xxhash64(*_FP))).otherwise(F.col("node")).alias("node"), *_FP)
+        nodes = stored(nodes, "nodes")
+    shape = plan(nodes.count(), radius, recall)
+    keys = _keys(nodes, *shape)
+    large = stored(_hot(nodes, *shape, hot), "hot")
+    if large.isEmpty():
+        roots = components(_bucket_edges(keys.withColumn("part", F.lit(0).cast("bigint")), radius))
+    else:
+        part = F.pmod(F.xxhash64("node", "key"), F.coalesce("parts", F.lit(1).cast("bigint")))
+        cut = keys.join(large, "key", "left").withColumn("part", part)
+        edges = stored(_bucket_edges(cut, radius), "near")
+        again = _across(cut.where("parts > 1"), components(edges), radius)
+        roots = components(edges.unionByName(again))
     return nodes.join(roots, "node", "left").select(*_FP, F.coalesce("root", "node").alias("root"))
 
 
