@@ -5,19 +5,19 @@ presence, with blanks and other signs made one blank and letters lower-cased; n-
 (a blended spectrum).  N-grams are hashed to `DIMENSION` buckets.  k(x, y) is the number of
 features in common over the root of the product of their numbers.
 
-Model.  `landmarks` texts span the feature space by Nyström's method: z(x) = K_mm^(-1/2) k(x, landmarks).
+Model.  `landmarks` texts span the feature space by Nyström's method: z(x) = K_mm^(-1/2) k(x, landmarks), brought
+to length 1 unless it is shorter than `SPAN`.  Its length falls as a text has few features that the landmarks share, to about 0.3 for a single
+word and 0.15 for another script; its direction tells the language for a text of any length.
 One-versus-rest kernel ridge regression on z has targets 1 and -1.  It is fitted on at most
 `per_language` labelled texts of each language, those of the lowest hash of doc_id; all
 other texts are only scored.
 
-Scoring.  The kernel with a landmark sinks as a text fills the buckets, so texts are scored in successive pieces of
-like length, of at most `PIECE` letters and blanks.  A batch of pieces is a 0/1 matrix; its product with the landmarks' matrix gives all
-kernels, and a second product all scores.  A text's scores are the means over its pieces.  It is rejected where no
+Scoring.  Texts are fitted and scored in successive pieces of like length, of at most `PIECE` letters and blanks, as a longer
+one would fill the buckets.  A batch of pieces is a 0/1 matrix; its product with the landmarks' matrix gives all
+kernels, and two more products all scores.  A text's scores are the means over its pieces.  It is rejected where no
 language claims it: the mean of its pieces' highest scores, each under a language of its own, is
-below `threshold`, or it has no letters.  What shares next to nothing with the landmarks scores about the
-regression's constant, -0.3 to -0.6 with four languages.  A piece with fewer than `evidence` features, some
-twenty letters, is too short to be told from that and doesn't count beside others; a text of such pieces
-only is accepted under the language that scores highest.
+below `threshold`, halfway between the targets, or it has no letters.  What is of none of the languages scores about the
+regression's constant, -0.2 to -0.5 with four languages.
 
 Null and empty texts, and those without letters, have no language and are rejected, with null scores.
 Null labels aren't learned from.  Where two languages score alike the first by name is chosen.  Where
@@ -39,6 +39,7 @@ from quern.llm.textvec import LETTER, Slice, classes, lower_table, slices
 DIMENSION = 1 << 14
 ORDERS = (1, 2, 3, 4)
 PIECE = 1024
+SPAN = 0.25
 RESULT = "doc_id bigint, language string, score double, margin double, accepted boolean"
 
 
@@ -109,7 +110,7 @@ def _batches(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
 
 
 class Model:
-    """Landmarks and weights: scores are (k(x, landmarks) / root of sizes) @ weights."""
+    """Landmarks and weights: scores are z @ weights + bias."""
 
     def __init__(self, texts: list[str], labels: list[str], landmarks: int, ridge: float):
         self.languages = sorted(set(labels))
@@ -129,10 +130,14 @@ class Model:
         value, vector = np.linalg.eigh(kmm.astype(np.float64))
         good = value > 1e-6 * value.max()
         half = vector[:, good] / np.sqrt(value[good])
-        z = np.concatenate([self.kernel(presence(Slice(array.slice(a, b - a)))[0]) for a, b in _batches(array)]) @ half
+        self.half = half
+        parts = [self._pieces(Slice(array.slice(a, b - a))) for a, b in _batches(array)]
+        z = np.concatenate([z for z, _, _ in parts])
         z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
-        w = np.linalg.solve(z.T @ z + ridge * np.eye(z.shape[1]), z.T @ y)
-        self.weights, self.bias = half @ w[:-1], w[-1]
+        count = np.concatenate([np.diff(np.append(first, len(z))) for z, first, _ in parts])
+        wz = z / np.repeat(count, count)[:, None]  # a text counts once, however many pieces it has
+        w = np.linalg.solve(wz.T @ z + ridge * np.eye(z.shape[1]), wz.T @ np.repeat(y, count, axis=0))
+        self.weights, self.bias = w[:-1], w[-1]
 
     def matrix(self) -> np.ndarray:
         if self._matrix is None:
@@ -146,21 +151,23 @@ class Model:
         sizes = np.sqrt(np.maximum(x.sum(axis=1), 1))
         return (x @ self.matrix()) / sizes[:, None] / self.root[None, :]
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.kernel(x) @ self.weights + self.bias
+    def directions(self, x: np.ndarray) -> np.ndarray:
+        """z of features, of length 1, or shorter where what they share with the landmarks is shorter than `SPAN`."""
+        z = self.kernel(x) @ self.half
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), SPAN)
 
-    def claims(self, part: Slice, evidence: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Scores of the texts of a slice, the means of their pieces' highest scores, whether each has letters, and whether no piece has evidence."""
+    def _pieces(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """z of the pieces of the texts of a slice, each text's first piece, and whether each has letters."""
         low, at, has = folded(part)
         cut, first = pieces(at)
-        s, known = np.zeros((len(cut) - 1, len(self.languages))), np.zeros(len(cut) - 1, bool)
-        for a in range(0, len(known), 256):
-            x = features(low, cut[a : a + 257])
-            s[a : a + 256], known[a : a + 256] = self.scores(x), x.sum(axis=1) >= evidence
-        few = ~np.logical_or.reduceat(known, first)
-        weight = known | np.repeat(few, np.diff(np.append(first, len(known))))
-        total = np.add.reduceat(weight, first, dtype=np.int64)
-        return np.add.reduceat(s * weight[:, None], first) / total[:, None], np.add.reduceat(s.max(axis=1) * weight, first) / total, has, few
+        return np.concatenate([self.directions(features(low, cut[a : a + 257])) for a in range(0, len(cut) - 1, 256)]), first, has
+
+    def claims(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the texts of a slice, the means of their pieces' highest scores, and whether each has letters."""
+        z, first, has = self._pieces(part)
+        s = z @ self.weights + self.bias
+        n = np.diff(np.append(first, len(s)))
+        return np.add.reduceat(s, first) / n[:, None], np.add.reduceat(s.max(axis=1), first) / n, has
 
 
 def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 256, ridge: float = 1.0) -> Model | None:
@@ -175,7 +182,7 @@ def fit(docs: DataFrame, per_language: int = 400, landmarks: int = 256, ridge: f
     return Model([r["text"] for r in sample], [r["lang"] for r in sample], landmarks, ridge) if sample else None
 
 
-def identify(docs: DataFrame, model: Model | None = None, threshold: float = -0.25, evidence: int = 64, carry: str | None = None, **fitting) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None = None, threshold: float = 0.0, carry: str | None = None, **fitting) -> DataFrame:
     """doc_id, language, score, margin to the next language, accepted for each row of docs(doc_id, text, lang).
 
     A model that isn't given is fitted on docs.  carry names a column of docs to pass on.
@@ -190,17 +197,17 @@ def identify(docs: DataFrame, model: Model | None = None, threshold: float = -0.
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 if model is None:
-                    has = few = np.zeros(b - a, bool)
+                    has = np.zeros(b - a, bool)
                     best, claim, language, margin = np.zeros(b - a), np.zeros(b - a), np.zeros(b - a, int), np.zeros(b - a)
                 else:
-                    s, claim, has, few = model.claims(Slice(batch.column(1).slice(a, b - a)), evidence)
+                    s, claim, has = model.claims(Slice(batch.column(1).slice(a, b - a)))
                     language = s.argmax(axis=1)
                     best = s.max(axis=1)
                     s[np.arange(len(s)), language] = -np.inf
                     margin = best - s.max(axis=1) if s.shape[1] > 1 else np.full(len(s), np.nan)
                 names = np.array(model.languages if model else [""], object)[language]
                 none = ~has
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string(), mask=none), pa.array(best, mask=none), pa.array(margin, mask=none | np.isnan(margin)), pa.array(has & ((claim >= threshold) | few)), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "language", "score", "margin", "accepted", *columns[2:]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(names, pa.string(), mask=none), pa.array(best, mask=none), pa.array(margin, mask=none | np.isnan(margin)), pa.array(has & (claim >= threshold)), *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "language", "score", "margin", "accepted", *columns[2:]])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns[2:])
     return rows.mapInArrow(work, RESULT + extra)

@@ -151,6 +151,10 @@ def test_language_edges(spark):
     assert got[1]["language"] is None and not got[2]["accepted"] and not got[3]["accepted"] and got[4]["language"] == "en" and got[None]["language"] == "en"
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, None}
+    twice = langid.identify(docs.unionByName(docs)).collect()  # repeated rows are scored each
+    assert sorted(map(str, twice)) == sorted(2 * [str(r) for r in langid.identify(docs, langid.fit(docs.unionByName(docs))).collect()])
+    tie = langid.fit(spark.createDataFrame([(1, "same words", "b", "x"), (2, "same words", "a", "x")], docs.schema))
+    assert langid.identify(spark.createDataFrame([(9, "same words", None, "x")], docs.schema), tie).first()["language"] == "a"
     assert langid.keep_identified(docs.where("lang is null")).collect() == [] and langid.identify(docs.limit(0)).collect() == []
 
 
@@ -219,3 +223,39 @@ def test_warc_records(spark):
     assert len({x["record_id"] for x in got}) == 4 and all(x["content_length"] == len(x["block"].encode()) for x in got)
     assert warc.derivatives(warc.responses(pages.limit(0))).collect() == []
     assert warc.serialized(warc.derivatives(answers)).where("value like 'WARC/1.1%'").count() == 6
+
+
+def test_junk_and_other_scripts_are_rejected_whatever_their_length(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    model = langid.fit(docs)
+    signs = "".join(np.random.default_rng(7).choice(list("abcdefghijklmnopqrstuvwxyz     "), 400_000))
+    junk = [signs, signs[:300], signs[:40], "xqzw vvkj " * 40, "zzzzzz", "съешь же ещё этих мягких булок", "漢字かな交じり文", "import numpy as np def f(x): return x", "12 34"]
+    clean = [r["text"] for r in docs.where("n_chars between 60 and 300").orderBy("doc_id").limit(200).collect()]
+    rows = spark.createDataFrame(list(enumerate(junk + clean)), "doc_id long, text string")
+    got = {r["doc_id"]: r["accepted"] for r in langid.identify(rows, model).collect()}
+    assert [junk[i][:20] for i in range(len(junk)) if got[i]] == [] and np.mean([got[i] for i in range(len(junk), len(got))]) > 0.97
+
+
+def test_languages_equal_dense_kernels(spark):
+    """The whole query on a small table, with the kernels and the regression written out one text at a time."""
+    docs = table(spark, D, "documents")
+    rows = {r["doc_id"]: (r["text"], r["lang"]) for r in docs.collect()}
+
+    def grams(t):
+        t = re.sub(r"[^\w]|[\d_]", " ", "".join(c.lower() if len(c.lower()) == 1 else c for c in t))
+        t = re.sub(" +", " ", t)
+        n = max(1, -(-len(t) // langid.PIECE))
+        cut = [len(t) * i // n for i in range(n + 1)]
+        return [langid.features(np.frombuffer(t[a:b].encode("utf-32-le"), np.uint32), np.array([0, b - a]))[0].astype(np.float64) for a, b in zip(cut[:-1], cut[1:])]
+
+    model = langid.fit(docs)
+    land = np.unpackbits(model.bits, axis=1).astype(np.float64)
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for i, (t, _) in rows.items():
+        scores = []
+        for x in grams(t):
+            z = np.array([(x * m).sum() / np.sqrt(x.sum() * m.sum()) for m in land]) @ model.half
+            scores.append(z / max(np.linalg.norm(z), langid.SPAN) @ model.weights + model.bias)
+        mean = np.mean(scores, axis=0)
+        assert model.languages[int(mean.argmax())] == got[i]["language"] and abs(mean.max() - got[i]["score"]) < 1e-3
+        assert got[i]["accepted"] == (np.mean([s.max() for s in scores]) >= 0)
