@@ -169,22 +169,31 @@ def Slice_of(texts):
     return Slice(pa.array(texts))
 
 
-@pytest.mark.parametrize("lot", [250_000, 50])
-def test_shards_balance_and_keep_copies_together(spark, lot):
-    docs = table(spark, D, "documents")
-    rows = {r["doc_id"]: r for r in sharding.shard_documents(docs, 4, lot_groups=lot).collect()}
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert rows.keys() == texts.keys()
-    by = {}
-    for i, t in texts.items():
-        by.setdefault(t, set()).add(rows[i]["shard"])
-        assert rows[i]["bytes"] == len(t.encode()) and rows[i]["tokens"] == len(re.findall(r"[^ \t\n\x0b\f\r]+", t))
-    assert all(len(s) == 1 for s in by.values())
-    total = np.zeros((4, 3))
-    for r in rows.values():
-        total[r["shard"]] += (r["bytes"], r["tokens"], 1)
-    largest = max(r["bytes"] for r in rows.values()) / total[:, 0].sum()
-    assert total[:, 0].max() / total[:, 0].sum() < 0.25 + largest + 0.05
+@pytest.mark.parametrize("bundles", [4096, 6])
+def test_shards_equal_a_loop_of_the_rule(spark, bundles):
+    """The whole query against a plain loop over groups and bundles; with few bundles most groups share one."""
+    docs, shards, heavy = table(spark, D, "documents"), 4, 0.02
+    keyed = docs.select("doc_id", "text", F.xxhash64("text", F.md5("text")).alias("key")).withColumn("bundle", F.pmod(F.xxhash64(F.lit("bundle"), "key"), F.lit(shards * bundles))).collect()
+    amounts = {r["doc_id"]: np.array([len(r["text"].encode()), len(re.findall(r"[^ \t\n\x0b\f\r]+", r["text"])), 1]) for r in keyed}
+    totals = sum(amounts.values()).astype(float)
+    groups: dict = {}
+    for r in keyed:
+        groups[r["key"], r["bundle"]] = groups.get((r["key"], r["bundle"]), 0) + amounts[r["doc_id"]]
+    items: dict = {}
+    item_of = {}
+    for (key, bundle), x in groups.items():
+        item_of[key] = item = ("alone", key) if (x / totals).max() > heavy / shards else ("bundle", bundle)
+        items[item] = items.get(item, 0) + x
+    residual, place = np.full((shards, 3), 1 / shards), {}
+    order = sorted(items, key=lambda i: (-(items[i] / totals).max(), -(items[i] / totals).sum(), i[1] if i[0] == "alone" else 0, i[1] if i[0] == "bundle" else -1))
+    for item in order:
+        x = items[item] / totals
+        place[item] = int((residual[:, 0] * x[0] + residual[:, 1] * x[1] + residual[:, 2] * x[2]).argmax())
+        residual[place[item]] -= x
+    got = {r["doc_id"]: (r["bytes"], r["tokens"], r["shard"]) for r in sharding.shard_documents(docs, shards, bundles=bundles).collect()}
+    assert got == {r["doc_id"]: (int(amounts[r["doc_id"]][0]), int(amounts[r["doc_id"]][1]), place[item_of[r["key"]]]) for r in keyed}
+    largest = max((x / totals).max() for x in items.values())
+    assert (1 / shards - residual).max() < 1 / shards + 2 * largest
 
 
 def test_packing_follows_the_dot_product():
@@ -203,6 +212,11 @@ def test_shard_edges(spark):
     got = [tuple(r) for r in sharding.shard_documents(docs_of(spark, rows), 3).collect()]
     assert len(got) == 7 and len({r[3] for r in got if r[1] == 3}) == 1 and len({r[3] for r in got if r[0] in (3, 4)}) == 1
     assert sharding.shard_documents(docs_of(spark, []), 3).collect() == []
+    third = [(i, "one text of a third of all rows" if i % 3 == 0 else f"text {i} of {i % 7}") for i in range(3000)] + [(9999, "w " * 500_000)]
+    got = sharding.shard_documents(docs_of(spark, third), 8).collect()
+    assert len({r["shard"] for r in got if r["doc_id"] % 3 == 0 and r["doc_id"] < 3000}) == 1 and len(got) == 3001
+    rows = [sum(r["shard"] == k for r in got) for k in range(8)]
+    assert sorted(rows)[-1] >= 1000 and sorted(rows)[0] > 0
 
 
 def test_warc_records(spark):
