@@ -8,22 +8,36 @@ target URI and date, and carry its HTTP header and digests on.
               (links from the root are put after the page's scheme and host)
   conversion  text/plain: the page without comments, scripts, styles and tags; tags of blocks end lines,
               references to characters are resolved, and white space is squeezed
-`serialized` gives the records' bytes as text and `write` WARC files of them.
+`serialized` gives the records' bytes as text and `write` WARC files of them; the source's header lines and digests stand in the
+records' own headers there.  `read` gives the records of WARC files, plain or gzipped, and `responses_in` the responses among them.
+
+Pages are read as browsers do: a comment, script, style, title or tag that nothing ends goes on to the end of the page, and a tag ends with its first >.
+Every expression meets each character a bounded number of times, whatever the page holds.
 
 A null page has no response and no records.  A null URL is kept null, and is left out of the header; an empty page gives
-records with empty text.  Rows repeated give equal records with equal identifiers.  Everything is built-in
+records with empty text.  Rows repeated give equal records with equal identifiers, and other columns don't count.  Everything but `read` is built-in
 expressions, so pages are read once and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import gzip
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DATE = "2024-01-01T00:00:00Z"
 MADE = "2024-02-01T00:00:00Z"
 _BLOCKS = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|article|section|header|footer|nav|title|head|body|html|blockquote|pre|hr|main|aside|form"
-REMOVED = ["(?s)<!--.*?-->", "(?is)<script[^>]*>.*?</script[ \\t\\r\\n]*>", "(?is)<style[^>]*>.*?</style[ \\t\\r\\n]*>"]
+_END = "[ \\t\\r\\n]*(?:>|\\z)"
+REMOVED = f"(?is)<(?:!--.*?(?:-->|\\z)|script[^>]*(?:>.*?(?:</script{_END}|\\z)|\\z)|style[^>]*(?:>.*?(?:</style{_END}|\\z)|\\z))"
+_BLOCK_TAG = f"(?i)</?(?:{_BLOCKS})(?:[ \\t\\r\\n/][^>]*)?(?:>|\\z)"
+_TAG = "</?[a-zA-Z!][^>]*(?:>|\\z)"
+_TITLE = "(?is)<title[^>]*(?:>(.*?)(?:</title|\\z)|\\z)"
+_LINK, _HREF = "(?i)<a[ \\t\\r\\n][^>]*", '(?is)\\A.*href="([^"]*)"'
+_HTML, _LANG = "(?i)<html[^>]*", '(?i)[ \\t\\r\\n]lang="([^"]*)"'
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€", "amp": "&"}
 _NUMBERED = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
@@ -34,17 +48,25 @@ def base32(sha1: Column) -> Column:
     return F.translate(F.concat(*fives), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def digest(text: Column) -> Column:
-    return F.concat(F.lit("sha1:"), base32(F.sha1(text)))
+def _digest(sha1: Column) -> Column:
+    return F.concat(F.lit("sha1:"), base32(sha1))
 
 
-def record_id(*parts: Column) -> Column:
-    """An identifier that follows from parts."""
-    h = F.sha1(F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts)))
-    s = lambda a, n: F.substring(h, a, n)
+def _uuid(sha1: Column) -> Column:
+    s = lambda a, n: F.substring(sha1, a, n)
     return F.concat(F.lit("<urn:uuid:"), s(1, 8), F.lit("-"), s(9, 4), F.lit("-5"), s(14, 3), F.lit("-a"), s(18, 3), F.lit("-"), s(21, 12), F.lit(">"))
 
 
+def with_digest(rows: DataFrame, name: str, text: Column) -> DataFrame:
+    """A column with the digest of text, which is hashed once: what several expressions read is a column of its own."""
+    return rows.withColumn("_sha", F.sha1(text)).withColumn(name, _digest(F.col("_sha"))).drop("_sha")
+
+
+def with_record_id(rows: DataFrame, name: str, *parts: Column) -> DataFrame:
+    """A column with an identifier that follows from parts."""
+    return rows.withColumn("_sha", F.sha1(F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts)))).withColumn(name, _uuid(F.col("_sha"))).drop("_sha")
+
+
 def _character(reference: Column) -> Column:
     """The character of &#n; or &#xn;."""
     digits = F.regexp_extract(reference, "([0-9a-fA-F]+);", 1)
@@ -63,24 +85,19 @@ def resolved(text: Column) -> Column:
 
 
 def squeezed(text: Column) -> Column:
-    text = F.regexp_replace(text, "[ \\t\\r\\f ]+", " ")
+    text = F.regexp_replace(text, "[ \\t\\r\\f\u00a0]{2,}|[\\t\\r\\f\u00a0]", " ")  # a single blank is left as it is
     return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
 
 
-def plain_text(html: Column) -> Column:
-    for pattern in REMOVED:
-        html = F.regexp_replace(html, pattern, " ")
-    html = F.regexp_replace(html, f"(?i)</?(?:{_BLOCKS})(?:[ \\t\\r\\n/][^>]*)?>", "\n")
-    return squeezed(resolved(F.regexp_replace(html, "</?[a-zA-Z!][^>]*>", "")))
-
-
-def title_of(html: Column) -> Column:
-    return squeezed(F.regexp_replace(resolved(F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title", 1)), "\\n", " "))
+def without_tags(html: Column) -> Column:
+    html = F.regexp_replace(html, REMOVED, " ")
+    return F.regexp_replace(F.regexp_replace(html, _BLOCK_TAG, "\n"), _TAG, "")
 
 
 def outlinks(html: Column, url: Column) -> Column:
     origin = F.regexp_extract(F.coalesce(url, F.lit("")), "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    found = F.regexp_extract_all(html, F.lit('(?i)<a[ \\t\\r\\n][^>]*href="([^"]*)"'), 1)
+    tags = F.filter(F.regexp_extract_all(html, F.lit(_LINK), 0), lambda x: x.rlike(_HREF))
+    found = F.transform(tags, lambda x: F.regexp_extract(x, _HREF, 1))
     return F.transform(found, lambda x: F.when(x.startswith("/") & ~x.startswith("//"), F.concat(origin, x)).otherwise(x))
 
 
@@ -89,9 +106,13 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     html, url = F.col("html").cast("string"), F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("target_uri"), html.alias("payload")).where("payload is not null")
     header = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
-    rows = rows.withColumn("http_header", header).withColumn("payload_digest", digest(F.col("payload"))).withColumn("block_digest", digest(F.concat("http_header", "payload")))
-    identity = record_id(F.lit("response"), F.col("page_id").cast("string"), F.col("target_uri"), F.col("block_digest"))
-    return rows.select("page_id", identity.alias("record_id"), "target_uri", F.lit(date).alias("date"), "http_header", "payload", "block_digest", "payload_digest")
+    return _identified(rows.withColumn("http_header", header).withColumn("date", F.lit(date)))
+
+
+def _identified(rows: DataFrame) -> DataFrame:
+    rows = with_digest(with_digest(rows, "payload_digest", F.col("payload")), "block_digest", F.concat("http_header", "payload"))
+    rows = with_record_id(rows, "record_id", F.lit("response"), F.col("page_id").cast("string"), F.col("target_uri"), F.col("block_digest"))
+    return rows.select("page_id", "record_id", "target_uri", "date", "http_header", "payload", "block_digest", "payload_digest")
 
 
 RECORD = ["page_id", "warc_type", "record_id", "refers_to", "refers_to_uri", "refers_to_date", "warc_date", "content_type", "content_length", "block_digest", "source_header", "source_block_digest", "source_payload_digest", "block"]
@@ -100,24 +121,30 @@ RECORD = ["page_id", "warc_type", "record_id", "refers_to", "refers_to_uri", "re
 def derivatives(rows: DataFrame, made: str = MADE) -> DataFrame:
     """The metadata and the conversion record of each of responses."""
     url, html = F.col("target_uri"), F.col("payload")
-    language = F.regexp_extract(html, '(?i)<html[^>]*[ \\t\\r\\n]lang="([^"]*)"', 1)
+    rows = rows.withColumn("_bare", without_tags(html)).withColumn("_title", F.regexp_extract(html, _TITLE, 1))
+    rows = rows.withColumn("_text", resolved(F.col("_bare"))).withColumn("_title", resolved(F.col("_title"))).drop("_bare")
+    rows = rows.withColumn("_title", squeezed(F.replace("_title", F.lit("\n"), F.lit(" "))))
+    rows = rows.withColumn("_language", F.regexp_extract(F.regexp_extract(html, _HTML, 0), _LANG, 1))
     line = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
-    source = F.regexp_replace(F.regexp_replace("http_header", "(?:\\r\\n)+$", ""), "\\r\\n", "\r\nsource-header: ")
+    source = F.replace(F.regexp_replace("http_header", "(?:\\r\\n)+$", ""), F.lit("\r\n"), F.lit("\r\nsource-header: "))
     links = F.array_join(F.transform(outlinks(html, url), lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")
-    metadata = F.concat(line("title", title_of(html)), line("language", language), F.lit("source-header: "), source, F.lit("\r\nsource-block-digest: "), F.col("block_digest"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\n"), links)
+    metadata = F.concat(line("title", F.col("_title")), line("language", F.col("_language")), F.lit("source-header: "), source, F.lit("\r\nsource-block-digest: "), F.col("block_digest"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\n"), links)
     both = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(html).alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), squeezed(F.col("_text")).alias("block")),
     )
-    out = rows.select("page_id", F.col("record_id").alias("refers_to"), url.alias("refers_to_uri"), F.col("date").alias("refers_to_date"), F.lit(made).alias("warc_date"), F.col("http_header").alias("source_header"), F.col("block_digest").alias("source_block_digest"), F.col("payload_digest").alias("source_payload_digest"), F.inline(both))
-    out = out.withColumn("block_digest", digest(F.col("block")))
-    return out.withColumn("record_id", record_id("warc_type", "refers_to", "block_digest")).withColumn("content_length", F.octet_length("block").cast("bigint")).select(*RECORD)
+    out = rows.select("page_id", F.col("record_id").alias("refers_to"), url.alias("refers_to_uri"), F.col("date").alias("refers_to_date"), F.lit(made).alias("warc_date"), F.col("http_header").alias("source_header"), F.col("block_digest").alias("source_block_digest"), F.col("payload_digest").alias("source_payload_digest"), both.alias("_both"))
+    out = out.select(*(c for c in out.columns if c != "_both"), F.inline("_both"))
+    out = with_record_id(with_digest(out, "block_digest", F.col("block")), "record_id", F.col("warc_type"), F.col("refers_to"), F.col("block_digest"))
+    return out.withColumn("content_length", F.octet_length("block").cast("bigint")).select(*RECORD)
 
 
 def serialized(records: DataFrame) -> DataFrame:
     """value: a record as it stands in a WARC file, but for the two line ends after it."""
-    names = {"WARC-Type": "warc_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Refers-To-Target-URI": "refers_to_uri", "WARC-Refers-To-Date": "refers_to_date", "WARC-Target-URI": "refers_to_uri", "WARC-Date": "warc_date", "WARC-Block-Digest": "block_digest", "Content-Type": "content_type", "Content-Length": "content_length"}
+    names = {"WARC-Type": "warc_type", "WARC-Record-ID": "record_id", "WARC-Refers-To": "refers_to", "WARC-Refers-To-Target-URI": "refers_to_uri", "WARC-Refers-To-Date": "refers_to_date", "WARC-Target-URI": "refers_to_uri", "WARC-Date": "warc_date", "WARC-Block-Digest": "block_digest", "WARC-Payload-Digest": "block_digest", "WARC-Source-Block-Digest": "source_block_digest", "WARC-Source-Payload-Digest": "source_payload_digest", "Content-Type": "content_type", "Content-Length": "content_length"}
     lines = [F.coalesce(F.concat(F.lit(f"{k}: "), F.col(v).cast("string"), F.lit("\r\n")), F.lit("")) for k, v in names.items()]
+    header = F.regexp_replace("source_header", "(?:\\r\\n)+$", "")
+    lines.append(F.coalesce(F.concat(F.lit("WARC-Source-Header: "), F.replace(header, F.lit("\r\n"), F.lit("\r\nWARC-Source-Header: ")), F.lit("\r\n")), F.lit("")))
     return records.select(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), "block").alias("value"))
 
 
@@ -126,6 +153,58 @@ def write(records: DataFrame, path: str) -> None:
     serialized(records).write.option("lineSep", "\r\n\r\n").text(path)
 
 
+def _records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers and block of each record of a file; what follows a record that is cut off is left out."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    at = 0
+    while (start := raw.find(b"WARC/1.", at)) >= 0:
+        end = raw.find(b"\r\n\r\n", start)
+        if end < 0:
+            return
+        pairs = [line.partition(":") for line in raw[start:end].decode("utf-8", "replace").split("\r\n")[1:]]
+        headers = [(k.strip(), v.strip()) for k, _, v in pairs]
+        size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), -1)
+        if size < 0 or end + 4 + size > len(raw):
+            return
+        yield headers, raw[end + 4 : end + 4 + size]
+        at = end + 4 + size
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """file, nth, headers (array of name and value, in their order), block of each record of the WARC files at path; a file is read by one task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for n, (headers, block) in enumerate(_records(raw.as_py())):
+                    pairs = pa.array([[{"name": k, "value": v} for k, v in headers]], pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])))
+                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64()), pairs, pa.array([block], pa.binary())], ["file", "nth", "headers", "block"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, "file string, nth bigint, headers array<struct<name:string,value:string>>, block binary")
+
+
+def header(name: str) -> Column:
+    """The first header of this name, in any case, of records that were read; null without one."""
+    return F.get(F.filter("headers", lambda h: F.lower(h["name"]) == name.lower()), F.lit(0))["value"]
+
+
+def responses_in(records: DataFrame) -> DataFrame:
+    """As `responses`, of the response records among those that were read; page_id is null, and the record's own identifier and digests stay where it has them.
+
+    The block's HTTP header ends with its first empty line; bytes that aren't UTF-8 become replacement characters.
+    """
+    block = F.decode("block", "UTF-8")
+    rows = records.where(header("WARC-Type") == "response").select(F.lit(None).cast("bigint").alias("page_id"), header("WARC-Target-URI").alias("target_uri"), header("WARC-Date").alias("date"), header("WARC-Record-ID").alias("_id"), header("WARC-Block-Digest").alias("_bd"), header("WARC-Payload-Digest").alias("_pd"), block.alias("_block"))
+    rows = rows.withColumn("_cut", F.instr("_block", "\r\n\r\n"))
+    rows = rows.withColumn("http_header", F.when(F.col("_cut") > 0, F.substring("_block", F.lit(1), F.col("_cut") + 3)).otherwise("")).withColumn("payload", F.when(F.col("_cut") > 0, F.expr("substring(_block, _cut + 4)")).otherwise(F.col("_block")))
+    known = rows.select("_id", "_bd", "_pd", "page_id", "target_uri", "date", "http_header", "payload")
+    known = with_digest(with_digest(known, "payload_digest", F.col("payload")), "block_digest", F.concat("http_header", "payload"))
+    known = with_record_id(known, "record_id", F.lit("response"), F.col("page_id").cast("string"), F.col("target_uri"), F.col("block_digest"))
+    pick = lambda own, made: F.coalesce(own, made).alias(made)
+    return known.select("page_id", pick("_id", "record_id"), "target_uri", "date", "http_header", "payload", pick("_bd", "block_digest"), pick("_pd", "payload_digest"))
+
+
 def sql() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     b32 = lambda h: "'sha1:' || translate(" + " || ".join(f"to_base(('0x' || substr({h}, {1 + 10 * k}, 10))::BIGINT, 32, 8)" for k in range(4)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
@@ -142,20 +221,17 @@ def sql() -> str:
         return out
 
     squeeze = lambda x: "trim(" + put(put(x, "[ \\t\\r\\f ]+", "' '"), " ?\\n[ \\n]*", "chr(10)") + ", ' ' || chr(10))"
-    text = "html"
-    for p in REMOVED:
-        text = put(text, p, "' '")
-    text = put(put(text, f"(?i)</?(?:{_BLOCKS})(?:[ \\t\\r\\n/][^>]*)?>", "chr(10)"), "</?[a-zA-Z!][^>]*>", "''")
+    text = put(put(put("html", REMOVED, "' '"), _BLOCK_TAG, "chr(10)"), _TAG, "''")
     crlf = "chr(13) || chr(10)"
     line = lambda n, x: f"CASE WHEN {x} <> '' THEN '{n}: ' || {x} || {crlf} ELSE '' END"
     return f"""
     WITH a AS (SELECT page_id, url, html, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(html) || {crlf} || {crlf} AS header FROM pages WHERE html IS NOT NULL),
     b AS (SELECT *, {sha('html')} AS pd, {sha('header || html')} AS bd FROM a),
     r AS (SELECT *, sha1(concat_ws('|', 'response', coalesce(page_id::VARCHAR, ''), coalesce(url, ''), bd)) AS rh,
-        {squeeze(put(entities("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"), chr(92) + 'n', "' '"))} AS title,
-        regexp_extract(html, '(?i)<html[^>]*[ \\t\\r\\n]lang="([^"]*)"', 1) AS language,
+        {squeeze(f"replace({entities(f'regexp_extract(html, {quote(_TITLE)}, 1)')}, chr(10), ' ')")} AS title,
+        regexp_extract(regexp_extract(html, {quote(_HTML)}), {quote(_LANG)}, 1) AS language,
         regexp_extract(coalesce(url, ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS origin,
-        regexp_extract_all(html, '(?i)<a[ \\t\\r\\n][^>]*href="([^"]*)"', 1) AS links, {text} AS bare FROM b),
+        list_transform(list_filter(regexp_extract_all(html, {quote(_LINK)}), lambda x: regexp_matches(x, {quote(_HREF)})), lambda x: regexp_extract(x, {quote(_HREF)}, 1)) AS links, {text} AS bare FROM b),
     d AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {line('title', 'title')} || {line('language', 'language')} || 'source-header: '
         || replace(regexp_replace(header, '(?:\\r\\n)+$', ''), {crlf}, {crlf} || 'source-header: ') || {crlf} || 'source-block-digest: ' || bd || {crlf} || 'source-payload-digest: ' || pd || {crlf}
         || array_to_string(list_transform(links, lambda x: 'outlink: ' || CASE WHEN starts_with(x, '/') AND NOT starts_with(x, '//') THEN origin || x ELSE x END || {crlf}), '') AS block FROM r

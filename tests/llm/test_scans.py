@@ -239,6 +239,46 @@ def test_warc_records(spark):
     assert warc.serialized(warc.derivatives(answers)).where("value like 'WARC/1.1%'").count() == 6
 
 
+def test_warc_files_keep_source_headers_and_digests(spark, tmp_path):
+    html = '<html lang="en"><title>T</title><p>One\r\n\r\nWARC/1.0 in a text é</p></html>'
+    answers = warc.responses(spark.createDataFrame([(1, "http://a.b/c", html), (2, None, "")], "page_id long, url string, html string"))
+    made = warc.derivatives(answers)
+    warc.write(made, f"{tmp_path}/out")
+    got = {h["WARC-Record-ID"]: (h, r["headers"], r["block"].decode()) for r in warc.read(spark, f"{tmp_path}/out").collect() for h in [{x["name"]: x["value"] for x in r["headers"]}]}
+    for r in made.collect():
+        h, every, block = got[r["record_id"]]
+        assert block == r["block"] and h["WARC-Refers-To"] == r["refers_to"] and h["WARC-Block-Digest"] == r["block_digest"] and h.get("WARC-Target-URI") == r["refers_to_uri"]
+        assert h["WARC-Source-Block-Digest"] == r["source_block_digest"] and h["WARC-Source-Payload-Digest"] == r["source_payload_digest"]
+        assert "".join(x["value"] + "\r\n" for x in every if x["name"] == "WARC-Source-Header") + "\r\n" == r["source_header"]
+
+
+def test_responses_of_warc_files(spark, tmp_path):
+    import gzip
+
+    body = "HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>Ünï</p>".encode()
+    record = lambda kind, block, extra="": f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nwarc-target-uri: http://x.y/\r\n{extra}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record("warcinfo", b"x")) + gzip.compress(record("response", body, "WARC-Block-Digest: sha1:OWN\r\n")))
+    (tmp_path / "b.warc").write_bytes(record("response", b"")[:-40] + b"")
+    (r,) = warc.responses_in(warc.read(spark, str(tmp_path))).collect()
+    assert (r["record_id"], r["target_uri"], r["payload"], r["block_digest"]) == ("<urn:uuid:response>", "http://x.y/", "<p>Ünï</p>", "sha1:OWN") and r["http_header"].endswith("text/html\r\n\r\n") and len(r["payload_digest"]) == 37
+    text = warc.derivatives(warc.responses_in(warc.read(spark, str(tmp_path)))).where("warc_type = 'conversion'").first()
+    assert text["block"] == "Ünï" and text["refers_to"] == "<urn:uuid:response>"
+
+
+def test_hostile_pages_take_linear_time(spark):
+    import time
+
+    parts = ["<!-- ", "<script", "<script>", "<style >", "<p ", "<b ", "</", "<title>", "<html", '<html lang="', "<a ", '<a href="', "&#", "&amp", " \n", "</script ", "<script></script "]
+    pages = spark.createDataFrame([(i, "u", p * (1_000_000 // len(p))) for i, p in enumerate(parts)], "page_id long, url string, html string").repartition(4).cache()
+    pages.count()
+    began = time.time()
+    assert warc.derivatives(warc.responses(pages)).count() == 2 * len(parts)
+    rows = warc.derivatives(warc.responses(pages)).selectExpr("sum(content_length)").first()[0]
+    assert rows > 0 and time.time() - began < 60
+    got = {r["page_id"]: r["block"] for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "u", "a<!-- b"), (2, "u", "a<script>x"), (3, "u", "a<p b"), (4, "u", "<title>t")], pages.schema))).where("warc_type = 'conversion'").collect()}
+    assert got == {1: "a", 2: "a", 3: "a", 4: "t"}
+
+
 def test_junk_and_other_scripts_are_rejected_whatever_their_length(spark):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     model = langid.fit(docs)
