@@ -130,7 +130,7 @@ class Model:
         value, vector = np.linalg.eigh(kmm.astype(np.float64))
         good = value > 1e-6 * value.max()
         half = vector[:, good] / np.sqrt(value[good])
-        self.half = half
+        self.half = half.astype(np.float32)
         parts = [self._pieces(Slice(array.slice(a, b - a))) for a, b in _batches(array)]
         z = np.concatenate([z for z, _, _ in parts])
         z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
