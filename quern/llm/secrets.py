@@ -38,7 +38,7 @@ RULES: dict[str, str] = {
     "stripe_key": r"\b[sr]k_live_[0-9A-Za-z]{24,}",
     "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----",
     "web_token": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "assigned_secret": r"(?i)\b(?:api_?key|secret|token|passw(?:or)?d)[\"']?[ \t]*[:=][ \t]*[\"'][^ \t\r\n\"']{8,}[\"']",
+    "assigned_secret": r"(?i)(?:api_?key|secret|token|passw(?:or)?d)(?:[_-][A-Za-z0-9_-]{0,40}|Key)?[\"']?[ \t]*[:=][ \t]*[\"'][^ \t\r\n\"']{8,}[\"']",
     "url_credentials": r"\b[a-z][a-z0-9+.-]{1,20}://[^ \t\r\n/:@]+:[^ \t\r\n/:@]+@",
     "hex_key": r"\b(?:[0-9a-f]{64}|[0-9a-f]{40})\b",
 }

@@ -71,8 +71,10 @@ def test_trigram_queries():
 def test_secrets_equal_a_scan_of_all(spark):
     key = "AKIA" + "A1" * 8
     rows = [(r["doc_id"], r["text"]) for r in table(spark, D, "documents").collect()] + [(900, None), (901, ""), (902, f"k {key} {key}"), (None, key), (903, "é" * 100_000 + " " + key), (904, "api_key = 'abcdefgh1'"), (905, "0" * 64)]
+    rows += list(enumerate(['access_token = "abcdefgh1"', 'client_secret: "abcdefgh1"', "DB_PASSWORD='abcdefgh1'", 'secret_key = "abcdefgh1"', 'AWS_SECRET_ACCESS_KEY="abcdefgh1"', 'tokenizer = "abcdefgh1"'], 910))
     want = sorted(((i, n, m.start(), m.end()) for i, t in rows if t for n, p in secrets.RULES.items() for m in re.finditer(p, t, re.ASCII)), key=str)
     got = sorted(((r["doc_id"], r["rule"], r["start"], r["end"]) for r in secrets.find_secrets(docs_of(spark, rows)).collect()), key=str)
+    assert {r[0] for r in got if r[1] == "assigned_secret"} >= {904, *range(910, 915)} and not any(r[0] == 915 for r in got)
     assert got == want and (903, "aws_access_key", 100_001, 100_021) in got
     assert secrets.find_secrets(docs_of(spark, [])).collect() == []
 
@@ -90,6 +92,12 @@ def test_phrases_in_planted_texts(spark):
     assert {k[0] for k in got} == {1, None, 5, 6}
     kept = decontam.drop_contaminated(docs_of(spark, rows), bench, broadcast_rows=0)
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([2, 3, 4, 12], key=str) and len(kept.columns) == 6
+    rare = " ".join(["theta", "iota", "kappa", "lambda", "omega", "sigma", "upsilon", "unseen1", "unseen2", "unseen3"])
+    edited = docs_of(spark, [(1, "theta x iota y kappa z lambda w omega v sigma u upsilon"), (2, "theta iota"), (3, "y " * 400_000 + "theta iota kappa"), (4, "lambda omega sigma upsilon")])
+    near = decontam.contaminated(edited, spark.createDataFrame([(1, rare)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["phrases"], r["best"]) for r in near] == [(1, 0, 7)]  # words that no document has don't count against an edited copy
+    blocks = {tuple(r) for r in decontam.contaminated(docs_of(spark, rows), bench, block_bytes=100).collect()}
+    assert blocks == {tuple(r) for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
     assert decontam.contaminated(docs_of(spark, []), bench).collect() == [] and decontam.contaminated(docs_of(spark, rows), bench.limit(0)).collect() == []
 
 
