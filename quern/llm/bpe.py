@@ -39,6 +39,8 @@ SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean"
 _CACHE_WORDS = 400_000
 _CACHE_ARCS = 600_000
 _SLICE = 1 << 19
+_LONG = 512  # bytes of a word from which on it is run by itself
+_BLOCK = 1 << 15
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -204,7 +206,12 @@ class Automaton:
         counts = np.zeros(len(starts), np.int64)
         pieces: list[tuple[np.ndarray, np.ndarray]] = []
         by = np.argsort(lengths, kind="stable")
-        a = 0
+        long = int(np.searchsorted(lengths[by], _LONG, "right"))
+        for k in by[long:].tolist():
+            ids = self._run_long(raw[starts[k] : starts[k] + lengths[k]])
+            counts[k] = len(ids)
+            pieces.append((np.array([k]), ids))
+        by, a = by[:long], 0
         while a < len(by):
             top = int(lengths[by[a]])
             limit = max(top, 4 if top <= 4 else top + top // 4)
@@ -261,6 +268,51 @@ class Automaton:
             ids[at[r] + counts[r] - 1 - k] = t
         return ids, counts
 
+    def _matches(self, word: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and label of every label that begins in [lo, hi)."""
+        at = np.arange(lo, hi)
+        node, found, d = np.zeros(len(at), np.int32), [], 0
+        while len(at):
+            node = self.step(node, word[at + d])
+            d += 1
+            at, node = at[node > 0], node[node > 0]
+            hit = self.label_at[node] >= 0
+            found.append(np.stack([at[hit], at[hit] + d, self.label_at[node[hit]].astype(np.int64)]))
+            more = at + d < len(word)
+            at, node = at[more], node[more]
+        return tuple(np.concatenate(found, axis=1))
+
+    def _run_long(self, word: np.ndarray) -> np.ndarray:
+        """The path of one long word.  In blocks of its places, all arcs that can matter are looked up at once: those from a label that ends at a place to one that begins there."""
+        n, longest = len(word), int(self.length.max())
+        last, length = [-1] * (n + 1), self.length.tolist()
+        for lo in range(0, n, _BLOCK):
+            hi = min(n, lo + _BLOCK)
+            start, end, label = self._matches(word, max(0, lo - longest), hi)
+            by = np.argsort(start, kind="stable")
+            start, end, label = start[by], end[by], label[by]
+            place = np.arange(lo, hi + 1)
+            first = np.searchsorted(start, place)
+            before = (end >= lo) & (end < hi)
+            count = np.diff(first)[end[before] - lo]
+            pairs = np.unique((np.repeat(label[before], count) << 32) | label[spread(first[end[before] - lo], count)])
+            good = set(pairs[self.arcs(pairs >> 32, pairs & 0xFFFFFFFF)].tolist())
+            ends, labels, first = end.tolist(), label.tolist(), first.tolist()
+            for j in range(lo, hi):
+                p = last[j] << 32
+                if j == 0:
+                    for m in range(first[0], first[1]):
+                        last[ends[m]] = labels[m]
+                elif p >= 0:
+                    for m in range(first[j - lo], first[j - lo + 1]):
+                        if p | labels[m] in good:
+                            last[ends[m]] = labels[m]
+        ids, at = [], n
+        while at:
+            ids.append(last[at])
+            at -= length[last[at]]
+        return np.array(ids[::-1], np.int32)
+
     def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and the offset where each text's begin."""
         s, e = presplit(part.cp, part.at)

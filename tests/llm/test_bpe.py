@@ -80,6 +80,27 @@ def test_caches_that_overflow_change_nothing(monkeypatch):
         assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
 
 
+def test_long_words_equal_a_public_encoder_in_bounded_time(monkeypatch):
+    import time
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    other = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    _, machine = bpe.compiled(PATH)
+    rng = np.random.default_rng(4)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    texts = [letters(20_000, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ"), letters(600, "e"), letters(513, "ththe "), letters(9000, "thean"), letters(5000, "éàü東京"), "!" * 3000, " " * 5000 + "x"]
+    monkeypatch.setattr(bpe, "_BLOCK", 700)
+    for t in texts:
+        assert machine.encode(Slice(pa.array([t])))[0].tolist() == other.encode_ordinary(t)
+    monkeypatch.undo()
+    for t in texts[:2]:
+        assert machine.encode(Slice(pa.array([t + "q"])))[0].tolist() == other.encode_ordinary(t + "q")
+    began = time.time()
+    blob = letters(1_000_000, "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    ids, _ = machine.encode(Slice(pa.array([blob])))
+    assert machine.decode(ids).tobytes().decode() == blob and time.time() - began < 60
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "hello world", "y"), (4, "hello world", "y"), (4, "hello world", "y")], "doc_id long, text string, ids string")
     got = sorted(map(tuple, bpe.encode_decode(docs).collect()), key=str)
