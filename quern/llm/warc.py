@@ -6,7 +6,7 @@ digests (base 32) of block and payload, and an identifier that follows from what
 target URI and date, and carry its HTTP header and digests on.
   metadata    application/warc-fields: title, language, the source's header lines and digests, and each outlink
               (links from the root are put after the page's scheme and host)
-  conversion  text/plain: the page without comments, scripts, styles and tags; tags of blocks end lines,
+  conversion  text/plain: the page without comments, scripts, styles and tags, which separate nothing; tags of blocks end lines,
               references to characters are resolved, and white space is squeezed
 `serialized` gives the records' bytes as text and `write` WARC files of them; the source's header lines and digests stand in the
 records' own headers there.  `read` gives the records of WARC files, plain or gzipped, and `responses_in` the responses among them.
@@ -39,7 +39,7 @@ _TITLE = "(?is)<title[^>]*(?:>(.*?)(?:</title|\\z)|\\z)"
 _LINK, _HREF = "(?i)<a[ \\t\\r\\n][^>]*", '(?is)\\A.*href="([^"]*)"'
 _HTML, _LANG = "(?i)<html[^>]*", '(?i)[ \\t\\r\\n]lang="([^"]*)"'
 ENTITIES = {"nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "©", "reg": "®", "middot": "·", "ndash": "–", "mdash": "—", "hellip": "…", "laquo": "«", "raquo": "»", "euro": "€", "amp": "&"}
-_NUMBERED = "&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+_REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|" + "|".join(ENTITIES) + ");"
 
 
 def base32(sha1: Column) -> Column:
@@ -75,30 +75,35 @@ def _character(reference: Column) -> Column:
     return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
 
 
+def _named(reference: Column) -> Column:
+    known = F.create_map(*(F.lit(x) for k, v in ENTITIES.items() for x in (f"&{k};", v)))
+    return F.coalesce(F.try_element_at(known, reference), _character(reference))
+
+
 def resolved(text: Column) -> Column:
-    """Text with its references to characters resolved, &amp; last."""
-    numbered = F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMBERED), 0))
-    out = F.when(F.instr(text, "&#") > 0, F.aggregate(numbered, text, lambda t, x: F.replace(t, x, _character(x)))).otherwise(text)
-    for name, character in ENTITIES.items():
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(character))
-    return F.when(F.instr(text, "&") > 0, out).otherwise(text)
+    """Text with its references to characters resolved; those to & come last, so that what they make isn't resolved again."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), 0))
+    ordered = F.concat(F.filter(found, lambda x: _named(x) != "&"), F.filter(found, lambda x: _named(x) == "&"))
+    return F.when(F.instr(text, "&") > 0, F.aggregate(ordered, text, lambda t, x: F.replace(t, x, _named(x)))).otherwise(text)
 
 
 def squeezed(text: Column) -> Column:
-    text = F.regexp_replace(text, "[ \\t\\r\\f\u00a0]{2,}|[\\t\\r\\f\u00a0]", " ")  # a single blank is left as it is
-    return F.trim(F.regexp_replace(text, " ?\\n[ \\n]*", "\n"), F.lit(" \n"))
+    """One line end for white space that has any, one blank for other white space; none at either end."""
+    other = text.contains("  ") | text.contains("\t") | text.contains("\r") | text.contains("\f") | text.contains("\u00a0")
+    text = F.when(other, F.regexp_replace(text, "[ \\t\\r\\f\u00a0]{2,}|[\\t\\r\\f\u00a0]", " ")).otherwise(text)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def without_tags(html: Column) -> Column:
-    html = F.regexp_replace(html, REMOVED, " ")
+    html = F.regexp_replace(html, REMOVED, "")
     return F.regexp_replace(F.regexp_replace(html, _BLOCK_TAG, "\n"), _TAG, "")
 
 
 def outlinks(html: Column, url: Column) -> Column:
     origin = F.regexp_extract(F.coalesce(url, F.lit("")), "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    tags = F.filter(F.regexp_extract_all(html, F.lit(_LINK), 0), lambda x: x.rlike(_HREF))
-    found = F.transform(tags, lambda x: F.regexp_extract(x, _HREF, 1))
-    return F.transform(found, lambda x: F.when(x.startswith("/") & ~x.startswith("//"), F.concat(origin, x)).otherwise(x))
+    found = F.transform(F.regexp_extract_all(html, F.lit(_LINK), 0), lambda x: F.regexp_extract(x, _HREF, 1))
+    return F.transform(F.filter(found, lambda x: x != ""), lambda x: F.when(x.startswith("/") & ~x.startswith("//"), F.concat(origin, x)).otherwise(x))
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -121,20 +126,20 @@ RECORD = ["page_id", "warc_type", "record_id", "refers_to", "refers_to_uri", "re
 def derivatives(rows: DataFrame, made: str = MADE) -> DataFrame:
     """The metadata and the conversion record of each of responses."""
     url, html = F.col("target_uri"), F.col("payload")
-    rows = rows.withColumn("_bare", without_tags(html)).withColumn("_title", F.regexp_extract(html, _TITLE, 1))
-    rows = rows.withColumn("_text", resolved(F.col("_bare"))).withColumn("_title", resolved(F.col("_title"))).drop("_bare")
-    rows = rows.withColumn("_title", squeezed(F.replace("_title", F.lit("\n"), F.lit(" "))))
-    rows = rows.withColumn("_language", F.regexp_extract(F.regexp_extract(html, _HTML, 0), _LANG, 1))
+    # one row for either record, each of which computes its own columns only; what several expressions read is a column of its own
+    rows = rows.withColumn("warc_type", F.explode(F.array(F.lit("metadata"), F.lit("conversion"))))
+    meta = F.col("warc_type") == "metadata"
+    rows = rows.withColumn("_raw", F.when(meta, F.regexp_extract(html, _TITLE, 1)).otherwise(without_tags(html)))
+    rows = rows.withColumn("_text", resolved(F.col("_raw")))
+    rows = rows.withColumn("_text", F.when(meta, F.replace("_text", F.lit("\n"), F.lit(" "))).otherwise(F.col("_text")))
+    rows = rows.withColumn("_text", squeezed(F.col("_text")))
+    rows = rows.withColumn("_language", F.when(meta, F.regexp_extract(F.regexp_extract(html, _HTML, 0), _LANG, 1)))
     line = lambda name, value: F.when(value != "", F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise(F.lit(""))
     source = F.replace(F.regexp_replace("http_header", "(?:\\r\\n)+$", ""), F.lit("\r\n"), F.lit("\r\nsource-header: "))
     links = F.array_join(F.transform(outlinks(html, url), lambda x: F.concat(F.lit("outlink: "), x, F.lit("\r\n"))), "")
-    metadata = F.concat(line("title", F.col("_title")), line("language", F.col("_language")), F.lit("source-header: "), source, F.lit("\r\nsource-block-digest: "), F.col("block_digest"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\n"), links)
-    both = F.array(
-        F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), squeezed(F.col("_text")).alias("block")),
-    )
-    out = rows.select("page_id", F.col("record_id").alias("refers_to"), url.alias("refers_to_uri"), F.col("date").alias("refers_to_date"), F.lit(made).alias("warc_date"), F.col("http_header").alias("source_header"), F.col("block_digest").alias("source_block_digest"), F.col("payload_digest").alias("source_payload_digest"), both.alias("_both"))
-    out = out.select(*(c for c in out.columns if c != "_both"), F.inline("_both"))
+    metadata = F.concat(line("title", F.col("_text")), line("language", F.col("_language")), F.lit("source-header: "), source, F.lit("\r\nsource-block-digest: "), F.col("block_digest"), F.lit("\r\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\r\n"), links)
+    kind = F.when(meta, "application/warc-fields").otherwise("text/plain; charset=utf-8")
+    out = rows.select("page_id", "warc_type", F.col("record_id").alias("refers_to"), url.alias("refers_to_uri"), F.col("date").alias("refers_to_date"), F.lit(made).alias("warc_date"), kind.alias("content_type"), F.col("http_header").alias("source_header"), F.col("block_digest").alias("source_block_digest"), F.col("payload_digest").alias("source_payload_digest"), F.when(meta, metadata).otherwise(F.col("_text")).alias("block"))
     out = with_record_id(with_digest(out, "block_digest", F.col("block")), "record_id", F.col("warc_type"), F.col("refers_to"), F.col("block_digest"))
     return out.withColumn("content_length", F.octet_length("block").cast("bigint")).select(*RECORD)
 
@@ -212,16 +217,16 @@ def sql() -> str:
     uuid = lambda h: f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-a' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12) || '>'"
     put = lambda x, p, r: f"regexp_replace({x}, {quote(p)}, {r}, 'g')"
 
+    code = "(CASE WHEN lower(e[3]) = 'x' THEN ('0x' || regexp_extract(e, '([0-9a-fA-F]+);', 1))::INT ELSE regexp_extract(e, '([0-9a-fA-F]+);', 1)::INT END)"
+    named = "CASE e " + " ".join(f"WHEN '&{k};' THEN {quote(v)}" for k, v in ENTITIES.items()) + f" ELSE chr(CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN {code} ELSE 65533 END) END"
+
     def entities(x: str) -> str:
-        out = f"list_reduce(list_prepend({x}, list_distinct(regexp_extract_all({x}, {quote(_NUMBERED)}))), lambda t, e: replace(t, e, coalesce(chr(CASE WHEN c(e) BETWEEN 1 AND 55295 OR c(e) BETWEEN 57344 AND 1114111 THEN c(e) ELSE 65533 END), '')))"
-        code = "(CASE WHEN lower(e[3]) = 'x' THEN ('0x' || regexp_extract(e, '([0-9a-fA-F]+);', 1))::INT ELSE regexp_extract(e, '([0-9a-fA-F]+);', 1)::INT END)"
-        out = out.replace("c(e)", code)
-        for name, character in ENTITIES.items():
-            out = f"replace({out}, '&{name};', {quote(character)})"
-        return out
+        found = f"list_distinct(regexp_extract_all({x}, {quote(_REFERENCE)}))"
+        ordered = f"list_concat(list_filter({found}, lambda e: {named} <> '&'), list_filter({found}, lambda e: {named} = '&'))"
+        return f"list_reduce(list_prepend({x}, {ordered}), lambda t, e: replace(t, e, {named}))"
 
     squeeze = lambda x: "trim(" + put(put(x, "[ \\t\\r\\f ]+", "' '"), " ?\\n[ \\n]*", "chr(10)") + ", ' ' || chr(10))"
-    text = put(put(put("html", REMOVED, "' '"), _BLOCK_TAG, "chr(10)"), _TAG, "''")
+    text = put(put(put("html", REMOVED, "''"), _BLOCK_TAG, "chr(10)"), _TAG, "''")
     crlf = "chr(13) || chr(10)"
     line = lambda n, x: f"CASE WHEN {x} <> '' THEN '{n}: ' || {x} || {crlf} ELSE '' END"
     return f"""
@@ -231,7 +236,7 @@ def sql() -> str:
         {squeeze(f"replace({entities(f'regexp_extract(html, {quote(_TITLE)}, 1)')}, chr(10), ' ')")} AS title,
         regexp_extract(regexp_extract(html, {quote(_HTML)}), {quote(_LANG)}, 1) AS language,
         regexp_extract(coalesce(url, ''), '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1) AS origin,
-        list_transform(list_filter(regexp_extract_all(html, {quote(_LINK)}), lambda x: regexp_matches(x, {quote(_HREF)})), lambda x: regexp_extract(x, {quote(_HREF)}, 1)) AS links, {text} AS bare FROM b),
+        list_filter(list_transform(regexp_extract_all(html, {quote(_LINK)}), lambda x: regexp_extract(x, {quote(_HREF)}, 1)), lambda x: x <> '') AS links, {text} AS bare FROM b),
     d AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {line('title', 'title')} || {line('language', 'language')} || 'source-header: '
         || replace(regexp_replace(header, '(?:\\r\\n)+$', ''), {crlf}, {crlf} || 'source-header: ') || {crlf} || 'source-block-digest: ' || bd || {crlf} || 'source-payload-digest: ' || pd || {crlf}
         || array_to_string(list_transform(links, lambda x: 'outlink: ' || CASE WHEN starts_with(x, '/') AND NOT starts_with(x, '//') THEN origin || x ELSE x END || {crlf}), '') AS block FROM r
