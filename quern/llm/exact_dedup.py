@@ -3,13 +3,13 @@
 A text's bytes b_1..b_n have the fingerprint sum(b_i * B**(n-i)) modulo three primes
 below 2**31, with one base for each.  Fingerprints compose: of x followed by y it
 is f(x) * B**len(y) + f(y), so chunks are hashed in parallel and combined by
-length-shifted arithmetic (`combine`, and `combine_chunks` for texts that are
-stored in chunk rows).  A chunk is hashed as rows of a matrix product in doubles,
+length-shifted arithmetic (`combine`).  A text of more than `HUGE` bytes is cut in chunk rows, which
+go to all tasks to be hashed, and `combine_chunks` makes its fingerprint of theirs.  A chunk is hashed as rows of a matrix product in doubles,
 which is exact: 1,024 bytes times powers below 2**31 stay below 2**53.
 
-Rows of one fingerprint and length are candidates only: each is compared with the
-first row of its group, chunk by chunk (`CHUNK` characters), and rows that differ
-are grouped by their texts.
+Rows of one fingerprint and length are candidates only.  Their texts are cut in chunks of `CHUNK` bytes, and chunks of one
+place and fingerprint are streamed past the first of them, so no task holds a whole text or group.
+A chunk's class is the row that first had these bytes; rows are equal where all their chunks' classes are.
 
 Null texts are no one's duplicates.  Empty texts are duplicates of one another.
 Rows repeated with the same doc_id are duplicates.  The row with the lowest
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,8 @@ from quern.llm.textvec import slices
 PRIMES = (2147483647, 2147483629, 2147483587)
 BASES = (1103515245, 1664525 + (1 << 29), 22695477 + (1 << 30))
 PIECE = 1024
-CHUNK = 1 << 16
+CHUNK = 1 << 18
+HUGE = 1 << 20
 _P = np.array(PRIMES, np.uint64)
 _rows = np.array([[pow(b, PIECE - 1 - i, p) for b, p in zip(BASES, PRIMES)] for i in range(PIECE)], np.float64)
 _shift = np.ones((1, 3), np.uint64)  # powers of B**PIECE
@@ -87,20 +89,64 @@ def fingerprint(text: bytes) -> tuple[int, ...]:
 FINGERPRINT = "doc_id bigint, n_bytes bigint, f1 bigint, f2 bigint, f3 bigint"
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, f1, f2, f3 for each row of docs(doc_id, text) that has a text."""
+_KEY = ["n_bytes", "f1", "f2", "f3"]
+
+
+def _offsets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that a large binary array points into, and the offsets of its values in them."""
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8), at
+
+
+def _hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints of rows(rid, chunk, data)."""
+    for batch in batches:
+        raw, at = _offsets(batch.column(2).cast(pa.large_binary()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(at)), *map(pa.array, fingerprints(raw, at).astype(np.int64).T.copy())], ["rid", "chunk", *_KEY])
+
+
+def fingerprinted(docs: DataFrame, carry: str | None = None, huge: int = HUGE) -> DataFrame:
+    """rid, doc_id, n_bytes, f1, f2, f3[, carry] for each row of docs(doc_id, text[, carry]) that has a text, as a stored table; rid tells rows apart."""
+    columns = ["doc_id", "text", *([carry] if carry else [])]
+    extra = f", {carry} {docs.schema[carry].dataType.simpleString()}" if carry else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())
             for a, b in slices(texts, 8 << 20):
                 part = texts.slice(a, b - a)
-                offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
-                raw = np.frombuffer(part.buffers()[2] or b"", np.uint8)
-                f = fingerprints(raw, offsets).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(offsets)), *map(pa.array, f.T.copy())], ["doc_id", "n_bytes", "f1", "f2", "f3"])
+                raw, at = _offsets(part)
+                size, rid = np.diff(at), base + n + np.arange(b - a)
+                n += b - a
+                whole = size <= huge
+                ends = np.cumsum(np.where(whole, size, 0))
+                small = raw[at[0] : at[-1]] if whole.all() else np.concatenate([raw[at[i] : at[i + 1]] for i in np.flatnonzero(whole)] or [raw[:0]])
+                f = fingerprints(small, np.concatenate([[0], ends])).astype(np.int64)
+                mask = ~whole
+                own = [batch.column(0).slice(a, b - a), pa.nulls(b - a, pa.int32()), pa.array(size), *(pa.array(x, mask=mask) for x in f.T.copy()), pa.nulls(b - a, pa.binary()), *(c.slice(a, b - a) for c in batch.columns[2:])]
+                yield pa.RecordBatch.from_arrays([pa.array(rid), *own], ["rid", "doc_id", "chunk", *_KEY, "data", *columns[2:]])
+                for i in np.flatnonzero(mask).tolist():  # chunk rows, for other tasks to hash
+                    for k, lo in enumerate(range(int(at[i]), int(at[i + 1]), CHUNK)):
+                        data = raw[lo : min(lo + CHUNK, int(at[i + 1]))].tobytes()
+                        one = [pa.array([rid[i]]), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in _KEY), pa.array([data], pa.binary()), *(pa.nulls(1, c.type) for c in batch.columns[2:])]
+                        yield pa.RecordBatch.from_arrays(one, ["rid", "doc_id", "chunk", *_KEY, "data", *columns[2:]])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *columns[2:]).where(F.col("text").isNotNull())
+    rows = stored(rows.mapInArrow(work, f"rid bigint, doc_id bigint, chunk int, n_bytes bigint, f1 bigint, f2 bigint, f3 bigint, data binary{extra}"), "fingerprints")
+    out = rows.where("chunk is null").drop("chunk", "data")
+    parts = rows.where("chunk is not null")
+    if parts.isEmpty():
+        return out
+    made = parts.select("rid", "chunk", "data").repartition("rid", "chunk").mapInArrow(_hash_rows, "rid bigint, chunk int, n_bytes bigint, f1 bigint, f2 bigint, f3 bigint")
+    made = combine_chunks(made.withColumnRenamed("rid", "doc_id")).withColumnRenamed("doc_id", "rid").drop("n_bytes")
+    more = out.where("f1 is null").drop("f1", "f2", "f3").join(made, "rid")
+    return stored(out.where("f1 is not null").unionByName(more), "fingerprints")
 
-    return docs.select(docs["doc_id"].cast("bigint"), docs["text"].cast("string")).where(F.col("text").isNotNull()).mapInArrow(work, FINGERPRINT)
+
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, f1, f2, f3 for each row of docs(doc_id, text) that has a text."""
+    return fingerprinted(docs).drop("rid")
 
 
 def combine_chunks(chunks: DataFrame) -> DataFrame:
@@ -121,85 +167,94 @@ def combine_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").applyInArrow(work, FINGERPRINT)
 
 
-_KEY = ["n_bytes", "f1", "f2", "f3"]
-_SAME = "n_bytes bigint, f1 bigint, f2 bigint, f3 bigint, salt int, class int"
+_CHUNKS = "rid bigint, doc_id bigint, n_bytes bigint, f1 bigint, f2 bigint, f3 bigint, salt int, split boolean, chunk int, data binary"
+
 
+def _chunk_rows(rows: DataFrame, size: int) -> DataFrame:
+    """The chunks of rows(rid, doc_id, n_bytes, f1, f2, f3, salt, split, text), one row each; an empty text has one."""
 
-def _equal(x: memoryview, y: memoryview) -> bool:
-    """Chunk by chunk, up to the first that differs."""
-    return len(x) == len(y) and all(x[i : i + CHUNK] == y[i : i + CHUNK] for i in range(0, len(x), CHUNK))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(8).cast(pa.large_binary())
+            n = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            short = pa.array(np.flatnonzero(n <= size))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(short) for i in range(8)), pa.array(np.zeros(len(short), np.int32)), texts.take(short).cast(pa.binary())], names)
+            for i in np.flatnonzero(n > size).tolist():
+                raw = texts[i].as_buffer()
+                for k, lo in enumerate(range(0, len(raw), size)):
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in range(8)), pa.array([k], pa.int32()), pa.array([raw[lo : lo + size].to_pybytes()], pa.binary())], names)
 
+    names = [x.split()[0] for x in _CHUNKS.split(", ")]
+    return rows.select(*names[:8], "text").mapInArrow(work, _CHUNKS)
 
-def _classes(rows: DataFrame, row_type: str) -> DataFrame:
-    """rows(n_bytes, f1, f2, f3, salt, doc_id, text, row), each with the class of equal texts it belongs to within its key and salt.
 
-    first marks the first row of a class by doc_id, and only it carries its text on.
-    """
-    order = [*_KEY, "salt", F.col("doc_id").asc_nulls_last()]
-    schema = f"{_SAME}, doc_id bigint, keep_id bigint, first boolean, text string, row {row_type}"
+def _chunk_classes(chunks: DataFrame, *key: str) -> DataFrame:
+    """chunks with rep, the rid that first, by doc_id, had the same bytes within the key; data stays where groups are split and the row is that first one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, known = None, []  # of the key at hand: text and doc_id of each class
+        before, known = None, []  # of the key at hand: bytes and rid of each class
+        at = [names.index(k) for k in key]
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
-            ids, texts = batch.column(5).to_pylist(), batch.column(6).cast(pa.large_binary())
-            classes, keep, first = np.zeros(len(ids), np.int32), [], np.zeros(len(ids), bool)
-            for i in range(len(ids)):
-                if key is None or not np.array_equal(key, keys[i]):
-                    key, known = keys[i], []
-                text = memoryview(texts[i].as_buffer()).cast("B")
-                k = next((k for k, (t, _) in enumerate(known) if _equal(t, text)), len(known))
-                if k == len(known):
-                    known.append((memoryview(bytes(text)), ids[i]))
-                    first[i] = True
-                classes[i] = k
-                keep.append(known[k][1])
-            mask = pa.array(first)
-            none = pa.scalar(None, pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(classes), batch.column(5), pa.array(keep, pa.int64()), mask, pc.if_else(mask, batch.column(6).cast(pa.string()), none), batch.column(7)], [*_KEY, "salt", "class", "doc_id", "keep_id", "first", "text", "row"])
-
-    return rows.repartition(*_KEY, "salt").sortWithinPartitions(*order).select(*_KEY, "salt", "doc_id", "text", "row").mapInArrow(work, schema)
-
-
-def _resolve(docs: DataFrame, row: str | None, broadcast_rows: int, split_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows that can't have a copy, untouched; and all others as doc_id, keep_id, copies, n_bytes, first, row."""
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in at], axis=1)
+            rid, data = batch.column(0).to_pylist(), batch.column(9)
+            rep, first = [], np.zeros(len(rid), bool)
+            for i in range(len(rid)):
+                if before is None or not np.array_equal(before, keys[i]):
+                    before, known = keys[i], []
+                own = memoryview(data[i].as_buffer()).cast("B")
+                found = next((r for x, r in known if x == own), None)
+                if found is None:
+                    known.append((bytes(own), rid[i]))
+                    first[i], found = True, rid[i]
+                rep.append(found)
+            stays = pc.and_(pa.array(first), batch.column(7))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:9], pc.if_else(stays, data, pa.scalar(None, data.type)), pa.array(rep, pa.int64())], [*names, "rep"])
+
+    names = [x.split()[0] for x in _CHUNKS.split(", ")]
+    order = [*key, F.col("doc_id").asc_nulls_last(), "rid"]
+    return chunks.repartition(*key).sortWithinPartitions(*order).select(*names).mapInArrow(work, _CHUNKS + ", rep bigint")
+
+
+def classes(rows: DataFrame, size: int = CHUNK) -> DataFrame:
+    """rid, doc_id, n_bytes, keep_id, copies, first of rows(rid, doc_id, n_bytes, f1, f2, f3, salt, split, text): what has equal texts; first marks one row of each class."""
+    key = [*_KEY, "chunk"]
+    near = stored(_chunk_classes(_chunk_rows(rows, size), *key, "salt"), "chunks")
+    # a class may have a part under each salt: the parts' first chunks are compared in turn
+    again = _chunk_classes(near.where("split and data is not null").drop("rep"), *key).select(*key, F.col("rid").alias("rep"), F.col("rep").alias("whole"))
+    alike = near.where("not split").select("rid", "doc_id", *_KEY, "salt", "chunk", "rep")
+    alike = alike.unionByName(near.where("split").drop("data").join(again, [*key, "rep"]).select("rid", "doc_id", *_KEY, "salt", "chunk", F.col("whole").alias("rep")))
+    one = alike.where(F.col("n_bytes") <= size).select("rid", "doc_id", *_KEY, "salt", F.array("rep").alias("class"))
+    several = alike.where(F.col("n_bytes") > size).groupBy("rid", "doc_id", *_KEY, "salt").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "rep"))), lambda x: x["rep"]).alias("class"))
+    alike = stored(one.unionByName(several), "classes")
+    by = alike.groupBy(*_KEY, "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("head"))
+    w = Window.partitionBy(*_KEY, "class")
+    by = by.select(*_KEY, "class", "salt", F.sum("n").over(w).alias("copies"), F.min("low").over(w).alias("keep_id"), F.min("head").over(w)["rid"].alias("head"))
+    out = alike.join(by, [*_KEY, "class", "salt"])
+    return out.select("rid", "doc_id", "n_bytes", "keep_id", "copies", (F.col("rid") == F.col("head")).alias("first"))
+
+
+def _resolve(docs: DataFrame, row: bool, broadcast_rows: int, split_rows: int, huge: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that can't have a copy, untouched; the candidates(rid, doc_id, row); and rid, doc_id, n_bytes, keep_id, copies, first of these."""
     docs = docs.select(F.struct("*").alias("row"))
-    docs = docs.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").cast("string").alias("text"), F.col("row") if row else F.lit(None).cast("boolean").alias("row"))
-    prints = stored(with_fingerprints(docs), "fingerprints")
-    groups = prints.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    docs = docs.select(F.col("row.doc_id").cast("bigint").alias("doc_id"), F.col("row.text").cast("string").alias("text"), *(["row"] if row else []))
+    prints = fingerprinted(docs, huge=huge)
+    groups = stored(prints.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "groups")
     ids = stored(prints.join(groups, _KEY, "left_semi").select(F.col("doc_id").alias("c_id")).distinct(), "candidates")
     if ids.count() <= broadcast_rows:
         ids = F.broadcast(ids)
     match = F.col("doc_id").eqNullSafe(F.col("c_id"))
-    alone = docs.where(F.col("text").isNull()).unionByName(docs.where(F.col("text").isNotNull()).join(ids, match, "left_anti"))
-    candidates = docs.where(F.col("text").isNotNull()).join(ids, match, "left_semi")
-    row_type = candidates.schema["row"].dataType.simpleString()
-    split = groups.where(F.col("copies") > split_rows).select(*_KEY, F.ceil(F.col("copies") / split_rows).cast("int").alias("parts"))
-    salted = _with_prints(candidates, row_type).join(split, _KEY, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-    near = stored(_classes(salted, row_type), "classes")
-    # one class may have a part under each salt: the parts' first texts are compared in turn
-    parts = near.where("first").select(*_KEY, F.lit(0).alias("salt"), "doc_id", "text", F.struct("salt", "class").alias("row"))
-    whole = _classes(parts, "struct<salt:int,class:int>").select(*_KEY, F.col("row.salt").alias("salt"), F.col("row.class").alias("class"), F.col("class").alias("whole"), F.col("keep_id").alias("whole_id"), F.col("first").alias("whole_first"))
-    whole = whole.join(near.groupBy(*_KEY, "salt", "class").agg(F.count(F.lit(1)).alias("n")), [*_KEY, "salt", "class"])
-    whole = whole.withColumn("copies", F.sum("n").over(Window.partitionBy(*_KEY, "whole")))
-    found = near.drop("text").join(whole, [*_KEY, "salt", "class"]).select("doc_id", F.col("whole_id").alias("keep_id"), "copies", "n_bytes", (F.col("first") & F.col("whole_first")).alias("first"), "row")
-    return alone, found
-
-
-def _with_prints(rows: DataFrame, row_type: str) -> DataFrame:
-    """rows(doc_id, text, row) with the fingerprints of their texts."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-            f = fingerprints(np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.diff(offsets)), *map(pa.array, f.T.copy()), *batch.columns], [*_KEY, "doc_id", "text", "row"])
-
-    return rows.mapInArrow(work, f"n_bytes bigint, f1 bigint, f2 bigint, f3 bigint, doc_id bigint, text string, row {row_type}")
-
-
-def exact_duplicates(docs: DataFrame, broadcast_rows: int = 500_000, split_rows: int = 1 << 16) -> DataFrame:
+    texts = docs.where(F.col("text").isNotNull())
+    alone = docs.where(F.col("text").isNull()).unionByName(texts.join(ids, match, "left_anti"))
+    candidates = fingerprinted(texts.join(ids, match, "left_semi").withColumn("own", F.col("row" if row else "text")), "own", huge)
+    parts = F.ceil(F.col("copies") / split_rows).cast("int")
+    split = groups.where(F.col("copies") > split_rows).select(*_KEY, parts.alias("parts"))
+    text = F.col("own.text").cast("string") if row else F.col("own")
+    salted = candidates.select("rid", "doc_id", *_KEY, text.alias("text")).join(split, _KEY, "left")
+    salted = salted.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"), F.lit(0))).withColumn("split", F.col("parts").isNotNull())
+    return alone, candidates, classes(salted)
+
+
+def exact_duplicates(docs: DataFrame, broadcast_rows: int = 500_000, split_rows: int = 1 << 16, huge: int = HUGE) -> DataFrame:
     """doc_id, keep_id, copies, n_bytes: one row for each row of docs(doc_id, text).
 
     keep_id is the lowest doc_id with the same text and copies the number of rows that have it.
@@ -209,12 +264,15 @@ def exact_duplicates(docs: DataFrame, broadcast_rows: int = 500_000, split_rows:
     broadcast up to broadcast_rows and joined by a shuffle beyond; groups of over split_rows are
     compared in parts.
     """
-    alone, found = _resolve(docs, None, broadcast_rows, split_rows)
+    alone, _, found = _resolve(docs, False, broadcast_rows, split_rows, huge)
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("copies"), F.octet_length("text").cast("bigint").alias("n_bytes"))
-    return alone.unionByName(found.drop("first", "row"))
+    return alone.unionByName(found.select("doc_id", "keep_id", "copies", "n_bytes"))
 
 
-def drop_exact_duplicates(docs: DataFrame, broadcast_rows: int = 500_000, split_rows: int = 1 << 16) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, broadcast_rows: int = 500_000, split_rows: int = 1 << 16, huge: int = HUGE) -> DataFrame:
     """The rows of docs with the first row, by doc_id, of each text; all its columns, rows with null texts too."""
-    alone, found = _resolve(docs, "row", broadcast_rows, split_rows)
-    return alone.select("row.*").unionByName(found.where("first").select("row.*"))
+    alone, candidates, found = _resolve(docs, True, broadcast_rows, split_rows, huge)
+    first = stored(found.where("first").select("rid"), "first")
+    if first.count() <= broadcast_rows:
+        first = F.broadcast(first)
+    return alone.select("row.*").unionByName(candidates.join(first, "rid", "left_semi").select("own.*"))

@@ -10,7 +10,7 @@ from quern.llm import simhash as S
 from quern.llm.components import components
 from quern.llm.textvec import Slice
 
-EDGES = [(1, "same text", "a", "k"), (2, "same text", "b", "k"), (None, "same text", "c", "k"), (3, None, "d", "k"), (4, None, "e", "k"), (5, "", "f", "k"), (6, "", "g", "k"), (7, "x" * 300_000, "h", "k"), (8, "x" * 300_000, "i", "k"), (9, "x" * 299_999 + "y", "j", "k"), (10, "alone", "k", "k"), (10, "alone", "k", "k")]
+EDGES = [(1, "same text", "a", "k"), (2, "same text", "b", "k"), (None, "same text", "c", "k"), (3, None, "d", "k"), (4, None, "e", "k"), (5, "", "f", "k"), (6, "", "g", "k"), (7, "x" * 300_000, "h", "k"), (8, "x" * 300_000, "i", "k"), (9, "x" * 299_999 + "y", "j", "k"), (10, "alone", "k", "k"), (10, "alone", "k", "k"), (11, "äöü", "l", "k"), (12, "äöü", "m", "k")]
 COLUMNS = "doc_id long, text string, row string, first string"
 
 
@@ -44,18 +44,22 @@ def expected(rows):
 def test_exact_duplicates_with_edges(spark, monkeypatch):
     docs = spark.createDataFrame(EDGES, COLUMNS)
     for split in (1 << 16, 2):  # groups in one part, and in several
-        assert sorted(map(tuple, X.exact_duplicates(docs, 500_000, split).collect()), key=str) == expected(EDGES)
+        for huge in (1 << 20, 100_000, 4):  # texts hashed whole, and in chunk rows
+            assert sorted(map(tuple, X.exact_duplicates(docs, 500_000, split, huge).collect()), key=str) == expected(EDGES)
     kept = X.drop_exact_duplicates(docs, 0)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, 4, 5, 7, 9, 10], key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 3, 4, 5, 7, 9, 10, 11], key=str)
     assert X.exact_duplicates(docs.limit(0)).collect() == []
 
 
-def test_texts_of_one_fingerprint_that_differ_stay_apart(spark, monkeypatch):
-    rows = [(1, 5, 1, 1, 1, 0, "aaaaa"), (2, 5, 1, 1, 1, 0, "bbbbb"), (3, 5, 1, 1, 1, 0, "aaaaa")]
-    df = spark.createDataFrame([(n, a, b, c, s, i, t, None) for i, n, a, b, c, s, t in rows], "n_bytes long, f1 long, f2 long, f3 long, salt int, doc_id long, text string, row boolean")
-    got = {r["doc_id"]: (r["class"], r["keep_id"]) for r in X._classes(df, "boolean").collect()}
-    assert got == {1: (0, 1), 2: (1, 2), 3: (0, 1)}
+def test_texts_of_one_fingerprint_that_differ_stay_apart(spark):
+    texts = {1: "aaaaabbbb", 2: "aaaaacccc", 3: "aaaaabbbb", 4: "aaaaabbbb", 5: "dddddbbbb", None: "aaaaacccc"}
+    for split in (False, True):
+        rows = [(k, i, 9, 1, 1, 1, k % 2 if split else 0, split, t) for k, (i, t) in enumerate(texts.items())]
+        df = spark.createDataFrame(rows, "rid long, doc_id long, n_bytes long, f1 long, f2 long, f3 long, salt int, split boolean, text string")
+        for size in (4, 5, 100):  # in three chunks, in two, in one
+            got = {r["doc_id"]: (r["keep_id"], r["copies"], r["first"]) for r in X.classes(df, size).collect()}
+            assert got == {1: (1, 3, True), 3: (1, 3, False), 4: (1, 3, False), 2: (2, 2, True), None: (2, 2, False), 5: (5, 1, True)}
 
 
 def near_brute(texts: list[str], radius: int) -> list[int]:
