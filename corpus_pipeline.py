@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; between stages the rows
 are a Parquet table in the shared folder.  All but the last return the columns of documents.
+
+Null and empty texts have no language and go in the first stage.  Of exact and near copies the row of the lowest doc_id stays, a null one only
+where there is no other; repeated rows are copies.  Other columns are carried on and don't count.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, decontam, exact_dedup, langid, simhash
-from quern.llm.shared import bounded, stored, table
+from quern.llm.shared import bounded, kept, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +59,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # a stage's working tables go once its rows are stored
+            docs = kept(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
