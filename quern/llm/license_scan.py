@@ -4,7 +4,8 @@ A notice of n letters may have k = min(4, n // 10) edits: inserted, deleted or c
 k + 1 parts; at most k of them can be touched by k edits, so one occurs exactly.  One automaton over
 the parts of all notices finds these seeds in a text.  Around each seed lies the window that the notice must be in;
 windows of a notice that overlap are joined.  The regex library then looks for the match of fewest edits in the
-window, and again in what is left of and right of it, so that spans of one notice don't overlap.
+window, and again in what is left of and right of it, so that spans of one notice don't overlap.  A window of many
+adjacent notices is searched in stretches of `STRETCH` of the notice's lengths, so that the time is in proportion to the text.
 
 Letters are compared without regard to case; every other character counts.  Line breaks within a notice are edits.
 
@@ -42,6 +43,7 @@ NOTICES: dict[str, str] = {
 }
 MOST_EDITS = 4
 LETTERS_PER_EDIT = 10
+STRETCH = 8  # lengths of a notice
 RESULT = "doc_id bigint, notice string, start bigint, end bigint, edits int"
 
 
@@ -85,10 +87,24 @@ class Finder:
             lo, hi, found = left.pop()
             if found:
                 yield found
-            elif hi - lo >= least and (m := self.patterns[i].search(text[lo:hi])):
-                a, b = lo + m.start(), lo + m.end()
+            elif hi - lo >= least and (m := self.patterns[i].search(text, lo, hi)):
+                a, b = m.span()
                 left += [(b, hi, None), (a, b, (a, b, sum(m.fuzzy_counts))), (lo, a, None)]
 
+    def spans(self, i: int, text: str, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+        """As `best`, in stretches of bounded length from the left; what ends within a notice's length of a stretch's end is left to the next one."""
+        reach = len(self.texts[i]) + 2 * self.edits[i]
+        while lo < hi:
+            end = min(hi, lo + STRETCH * reach)
+            after = end if end == hi else end - reach
+            for a, b, n in self.best(i, text, lo, end):
+                if end == hi or b <= end - reach:
+                    yield a, b, n
+                    lo = b
+                else:
+                    after = min(after, a)
+            lo = max(lo, after)
+
     def scan(self, text: str, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """Text, notice, start, end and edits of each match in the folded texts text[at[d]:at[d+1]]."""
         ends, hits = [], []
@@ -115,7 +131,7 @@ class Finder:
                 else:
                     joined.append([a, b])
             for a, b in joined:
-                for s, e, n in self.best(i, text, a, b):
+                for s, e, n in self.spans(i, text, a, b):
                     yield d, i, s - int(at[d]), e - int(at[d]), n
 
 
