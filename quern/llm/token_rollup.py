@@ -145,12 +145,19 @@ class Store:
         return sums.where("documents <> 0 or tokens <> 0")
 
     def compact(self) -> None:
-        """Fold all batches into a new snapshot, which takes effect by one rename."""
+        """Fold all batches into a new snapshot, which takes effect by one rename.
+
+        What the snapshot before had folded already is deleted: those who began to read before this one may still read what it folds now.
+        """
         rows, names = self._deltas()
+        before = self._folded()
         aside = f"{self.path}/aside/{new_folder(self.spark, 'snapshot').rsplit('/', 1)[1]}"
         rows.groupBy(*KEY).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).write.parquet(f"{aside}/totals")
         self.spark.createDataFrame([(n,) for n in names], "name string").coalesce(1).write.parquet(f"{aside}/names")
-        self._place(aside, "snapshots", f"{len(self._names('snapshots')):09d}")
+        if self._place(aside, "snapshots", f"{len(self._names('snapshots')):09d}"):
+            hadoop, fs = self._fs()
+            for name in before & set(self._names("batches")):
+                fs.delete(hadoop.Path(f"{self.path}/batches/{name}"), True)
 
 
 def jvm_error() -> type[Exception]:

@@ -62,6 +62,10 @@ def test_batches_count_once_and_compaction_keeps_totals(spark):
     assert totals(store.totals()) == {(None, "en", "v"): (1, 0), ("b", "en", "v"): (1, 0)}
     store.compact()
     assert not store.commit("two", token_rollup.deletes(counts))
+    assert store.commit("three", token_rollup.inserts(counts)) and len(store._names("batches")) == 3  # "one" was folded twice
+    store.compact()
+    assert not store.commit("one", token_rollup.inserts(counts)) and len(store._names("batches")) == 1
+    assert store.commit("four", token_rollup.deletes(counts))
     assert len(totals(store.totals())) == 2
 
 
