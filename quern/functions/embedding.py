@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as Types
@@ -12,11 +15,25 @@ from quern.functions import text as T
 
 
 def hashed(text: Column, dimension: int = 256) -> Column:
-    """Counts of terms by a hash, signed by another: no model, but texts that share terms are near.  Null text gives a null vector."""
-    words = T.terms(text)
-    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dimension)) * 2 + (F.hash(w) > 0).cast("bigint"))
-    counted = lambda i: F.size(F.filter(place, lambda p: p == 2 * i + 1)) - F.size(F.filter(place, lambda p: p == 2 * i))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: counted(i).cast("double"))
+    """Counts of terms by two bytes of their MD5, signed by a third: no model, but texts that share terms are near.
+
+    Null text gives a null vector.  Each term is hashed once; counting is one pass over arrays.
+    """
+    if not 1 <= dimension <= 65536:
+        raise ValueError("1 to 65536 dimensions")
+    digit = lambda w, at, n: F.conv(F.substring(F.md5(w), at, n), 16, 10).cast("int")
+    places = F.transform(T.terms(text), lambda w: F.pmod(digit(w, 1, 4), F.lit(dimension)) * 2 + (digit(w, 5, 1) >= 8).cast("int"))
+
+    @F.arrow_udf("array<double>")
+    def counted(lists: pa.Array) -> pa.Array:
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        n = len(lists)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        at = np.bincount(row * 2 * dimension + lists.flatten().to_numpy(zero_copy_only=False), minlength=2 * dimension * n).reshape(n, dimension, 2)
+        values = pa.array((at[:, :, 1] - at[:, :, 0]).astype(np.float64).ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), values, mask=lists.is_null()) if n else pa.array([], pa.list_(pa.float64()))
+
+    return counted(places)
 
 
 def with_model(load: Callable[[], Callable[[list[str]], list[list[float]]]], batch: int = 32) -> Callable[[Column], Column]:

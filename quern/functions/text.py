@@ -5,6 +5,7 @@ Null texts give null unless said otherwise.  Lengths are in UTF-8 bytes where th
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -234,8 +235,32 @@ def chunks_of_sentences(text: Column, most: int = 1000, overlap: int = 100) -> C
     return F.aggregate(parts, start, add, lambda a: F.when(a["size"] > 0, F.array_append(a["done"], F.trim(a["now"]))).otherwise(a["done"]))
 
 
+_WHITE = " \t\n\x0b\f\r\x85\xa0"
+
+
+def cut_by_characters(text: str, size: int = 1000, overlap: int = 100) -> list[str]:
+    """Windows of at most `size` characters, each ending at the last white space of its last tenth if there is one; the next begins `overlap` before."""
+    if len(text) <= size:
+        return [text.strip(_WHITE)] if len(text) else [text]
+    if size - size // 10 - 1 <= overlap:
+        raise ValueError("the overlap must be shorter than what is left of a window whose last tenth is cut off")
+    out, at = [], 0
+    while True:
+        end = min(at + size, len(text))
+        if end < len(text):
+            low = max(end - size // 10 - 1, 0)
+            blank = max(text.rfind(c, low, end) for c in _WHITE)
+            end = blank if blank > at else end
+        out.append(text[at:end].strip(_WHITE))
+        if end == len(text):
+            return out
+        at = end - overlap
+
+
 def chunks_of_characters(text: Column, size: int = 1000, overlap: int = 100) -> Column:
-    """Windows of `size` characters that begin every size - overlap; the last one ends with the text."""
-    n = F.length(text)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - overlap) / (size - overlap)).cast("int") - 1))
-    return F.when(n <= size, F.array(text)).otherwise(F.transform(starts, lambda i: F.trim(F.substring(text, i * (size - overlap) + 1, F.lit(size)))))
+    """`cut_by_characters` of each text; null gives null.  Chunks are cut in Python, as an expression would count a text's characters anew for each."""
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else cut_by_characters(t, size, overlap) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return cut(text)

@@ -88,12 +88,19 @@ def boosted(score: Column, created: Column, as_of: Column, source: Column) -> Co
     """1.2 times within a day of as_of, 1.1 within a week; 1.3 times for official and verified sources."""
     age = F.unix_timestamp(as_of) - F.unix_timestamp(created)
     fresh = F.when(age < 86400, 1.2).when(age < 7 * 86400, 1.1).otherwise(1.0)
-    return score * F.coalesce(fresh, F.lit(1.0)) * F.when(F.lower(source).isin("official", "verified"), 1.3).otherwise(1.0)
+    return score * F.coalesce(fresh, F.lit(1.0)) * F.when(F.coalesce(F.lower(source).isin("official", "verified"), F.lit(False)), 1.3).otherwise(1.0)
 
 
-def hybrid(vector_hits: DataFrame, text_hits: DataFrame, method: str = "rrf", vector: float = 0.6, text: float = 0.4, k: int = 10) -> DataFrame:
-    """query_id, rank, id, score from vector_hits(query_id, rank, id, dist) and text_hits(query_id, rank, id, score); a distance counts as similarity 1 - dist."""
+def hybrid(vector_hits: DataFrame, text_hits: DataFrame, method: str = "rrf", vector: float = 0.6, text: float = 0.4, k: int = 10, info: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """query_id, rank, id, score from vector_hits(query_id, rank, id, dist) and text_hits(query_id, rank, id, score); a distance counts as similarity 1 - dist.
+
+    With info(id, created, source), scores are boosted by age at as_of and by source before the k best are taken; a document without info isn't.
+    """
     check_weights({"vector": vector, "text": text})
     a = vector_hits.select("query_id", F.lit("vector").alias("list"), "rank", "id", (1 - F.col("dist")).alias("score"))
     b = text_hits.select("query_id", F.lit("text").alias("list"), "rank", "id", "score")
-    return ranked(METHODS[method](a.unionByName(b), {"vector": vector, "text": text}), k).select("query_id", "rank", "id", "score")
+    fused = METHODS[method](a.unionByName(b), {"vector": vector, "text": text})
+    if info is not None:
+        score = F.coalesce(boosted(F.col("score"), F.col("created"), F.current_timestamp() if as_of is None else as_of, F.col("source")), F.col("score"))
+        fused = fused.join(info.select("id", "created", "source"), "id", "left").select("query_id", "id", F.round(score, 6).alias("score"))
+    return ranked(fused, k).select("query_id", "rank", "id", "score")

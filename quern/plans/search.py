@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import lexicons as L
 from quern.functions import text as T
+from quern.functions.embedding import hashed
 from quern.operators import fusion, knn
 from quern.operators import text_search as S
 from quern.plans.vectors import vectors
@@ -105,13 +106,19 @@ def fuse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.ranked(fusion.rrf(ranked_lists(spark, sf_dir), WEIGHTS), 5)
 
 
-def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark texts against documents, by BM25 and by hashed counts of terms in 256 dimensions."""
-    from quern.functions.embedding import hashed
+def document_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, created (an hour for each id before 2024-02-01), source (src0 is official, src1 verified)."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    source = F.when(F.col("source") == "src0", "official").when(F.col("source") == "src1", "Verified").otherwise(F.col("source"))
+    created = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - 3600 * F.col("doc_id"))
+    return d.select(F.col("doc_id").alias("id"), created.alias("created"), source.alias("source"))
+
 
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts against documents, by hashed counts of terms in 256 dimensions and by BM25, 20 of each, fused and boosted."""
     docs, q = documents(spark, sf_dir), asked(spark, sf_dir)
     near = knn.knn(q.select("query_id", hashed(F.col("text"))), docs.select("id", hashed(F.col("text"))), 20, "cosine")
-    return fusion.hybrid(near, S.bm25(docs, q, 20))
+    return fusion.hybrid(near, S.bm25(docs, q, 20), info=document_info(spark, sf_dir), as_of=F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
 QUERIES = {f.__name__: f for f in (text_tokenize, text_stats, text_tf, text_df_idf, bm25_search, bm25_matched, bm25_field, phrase_search, fuzzy_terms, fuzzy_terms_all, synonyms, fuse_ranked, hybrid_search)} | {f"fuse_{m}": _fuse(m) for m in fusion.METHODS}
@@ -163,3 +170,23 @@ ORACLE_SQL = {
     "fuse_probabilistic": f"WITH {_LISTS} SELECT query_id, id, round(exp(sum(w * ln(p + 1e-10::DOUBLE))), 6) AS score FROM (SELECT *, CASE WHEN sum(score) {_OVER} > 0 THEN greatest(0, score) / sum(score) {_OVER} ELSE 1 / count(*) {_OVER} END AS p FROM hits) GROUP BY ALL",
     "fuse_ranked": f"WITH {_LISTS}, f AS (SELECT query_id, id, round(sum(w / (rank + 60)), 6) AS score FROM hits GROUP BY ALL) SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 5",
 }
+
+_STEM = "CASE WHEN strlen(w) <= 2 THEN w " + " ".join(f"WHEN suffix(w, '{x}') AND strlen(w) > {len(x) + 2} THEN w[1:length(w) - {len(x)}]" for x in ("ing", "ed", "ly", "es", "s")) + " ELSE w END"
+_STEMS = f"(SELECT *, {_STEM} AS term, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM (SELECT id, unnest(w) AS w, unnest(range(len(w))) AS pos FROM {{rows}}) WHERE w NOT IN {_STOP})"
+_HASHED = lambda rows, id_: f"(SELECT {id_} AS id, place, sum(sign) AS x FROM (SELECT {id_}, ('0x' || md5(term)[1:4])::INT % 256 AS place, CASE WHEN ('0x' || md5(term)[5:5])::INT >= 8 THEN 1 ELSE -1 END AS sign FROM (SELECT {id_}, unnest({_terms('text')}) AS term FROM {rows})) GROUP BY ALL HAVING x <> 0)"
+ORACLE_SQL |= {
+    "phrase_search": f"""WITH d AS {_STEMS.format(rows="(SELECT doc_id AS id, regexp_extract_all(lower(text), '[" + chr(92) + "p{L}" + chr(92) + "p{Nd}]+') AS w FROM documents)")},
+        i AS (SELECT item_id, regexp_split_to_array(text, '[.!?,]') AS parts FROM benchmark), lines AS (SELECT item_id * 1000 + unnest(range(len(parts))) AS id, unnest(parts) AS part FROM i),
+        p AS {_STEMS.format(rows="(SELECT id, regexp_extract_all(lower(part), '[" + chr(92) + "p{L}" + chr(92) + "p{Nd}]+') AS w FROM lines)")}, pn AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM p),
+        short AS (SELECT pn.id AS phrase_id, d.id, d.k - pn.k AS at FROM pn JOIN d USING (term) WHERE n <= 3 GROUP BY pn.id, d.id, d.k - pn.k, n HAVING count(*) = n),
+        long AS (SELECT pn.id AS phrase_id, d.id, d.pos - pn.k AS at FROM pn JOIN d USING (term) WHERE n > 3 GROUP BY pn.id, d.id, d.pos - pn.k, n HAVING count(*) = n)
+        SELECT phrase_id, id, count(*) AS occurrences, 10.0::DOUBLE * count(*) AS score FROM (FROM short UNION ALL FROM long) GROUP BY ALL""",
+    "hybrid_search": f"""WITH {_INDEX}, {_HITS}, bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id FROM h QUALIFY rank <= 20),
+        hd AS {_HASHED('documents', 'doc_id')}, hq AS {_HASHED('benchmark', 'item_id')}, nd AS (SELECT id, sqrt(sum(x * x)) AS n FROM hd GROUP BY id), nq AS (SELECT id, sqrt(sum(x * x)) AS n FROM hq GROUP BY id),
+        dots AS (SELECT hq.id AS query_id, hd.id, sum(hq.x * hd.x) AS dot FROM hq JOIN hd USING (place) GROUP BY ALL),
+        cs AS (SELECT b.item_id AS query_id, a.doc_id AS id, round(1 - CASE WHEN nq.n * nd.n > 0 THEN coalesce(dot, 0) / (nq.n * nd.n) ELSE 0 END, 6) + 0.0 AS dist FROM benchmark b CROSS JOIN documents a LEFT JOIN nq ON nq.id = b.item_id LEFT JOIN nd ON nd.id = a.doc_id LEFT JOIN dots ON dots.query_id = b.item_id AND dots.id = a.doc_id),
+        vc AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank, id FROM cs QUALIFY rank <= 20),
+        f AS (SELECT query_id, id, round(sum(w / (rank + 60)), 6) AS score FROM (SELECT *, 0.6::DOUBLE AS w FROM vc UNION ALL SELECT *, 0.4::DOUBLE FROM bm) GROUP BY ALL),
+        g AS (SELECT query_id, id, round(score * CASE WHEN id < 24 THEN 1.2::DOUBLE WHEN id < 168 THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN source IN ('src0', 'src1') THEN 1.3::DOUBLE ELSE 1 END, 6) AS score FROM f JOIN documents ON doc_id = id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM g QUALIFY rank <= 10""",
+}
