@@ -7,6 +7,10 @@ Order matters only where said; it is by ts and then by the ids.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,14 +56,16 @@ def attributed(clicks: DataFrame, impressions: DataFrame) -> DataFrame:
 def document_feedback(interactions: DataFrame) -> DataFrame:
     """document_id, views (all interactions), clicks, ctr, avg_rating, ratings, avg_dwell.
 
-    The running dwell mean weighs by the views so far, so it depends on order: an ordered fold over a document's interactions.
+    The running dwell mean weighs by the interactions so far: the j-th dwell, after i others of its document, makes it (mean * i + value) / (i + 1).  So a dwell
+    counts value / (i + 1) times i / (i + 1) of each later dwell, which windows sum without holding a document's history.
     """
-    start = F.struct(F.lit(0.0).alias("mean"), F.lit(0).alias("views"))
-    step = lambda a, x: F.struct(F.when(x["type"] == "dwell", (a["mean"] * a["views"] + x["value"]) / (a["views"] + 1)).otherwise(a["mean"]).alias("mean"), (a["views"] + 1).alias("views"))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "query_id", "type", F.coalesce("value", F.lit(0.0)).alias("value"))))
-    rows = interactions.groupBy("document_id").agg(F.count(F.lit(1)).alias("views"), _count(is_("click")).alias("clicks"), F.avg(F.when(is_("rating"), F.col("value"))).alias("r"), _count(is_("rating")).alias("ratings"), ordered.alias("all"))
-    dwell = F.aggregate("all", start, step)["mean"]
-    return rows.select("document_id", "views", "clicks", D.round6(F.col("clicks") / F.col("views")).alias("ctr"), D.round6(F.coalesce("r", F.lit(0.0))).alias("avg_rating"), "ratings", D.round6(dwell).alias("avg_dwell"))
+    nth = F.row_number().over(Window.partitionBy("document_id").orderBy("ts", "query_id", "type", F.coalesce("value", F.lit(0.0)))) - 1
+    dwells = interactions.select("document_id", "ts", "query_id", "type", "value").withColumn("i", nth).where(is_("dwell"))
+    later = F.sum(F.when(F.col("i") > 0, F.log(F.col("i") / (F.col("i") + 1)))).over(Window.partitionBy("document_id").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    mean = dwells.withColumn("x", F.coalesce("value", F.lit(0.0)) / (F.col("i") + 1) * F.exp(F.coalesce(later, F.lit(0.0)))).groupBy("document_id").agg(F.sum("x").alias("dwell"))
+    rows = interactions.groupBy("document_id").agg(F.count(F.lit(1)).alias("views"), _count(is_("click")).alias("clicks"), F.avg(F.when(is_("rating"), F.col("value"))).alias("r"), _count(is_("rating")).alias("ratings"))
+    rows = rows.join(mean.withColumnRenamed("document_id", "d"), F.col("document_id").eqNullSafe(F.col("d")), "left")
+    return rows.select("document_id", "views", "clicks", D.round6(F.col("clicks") / F.col("views")).alias("ctr"), D.round6(F.coalesce("r", F.lit(0.0))).alias("avg_rating"), "ratings", D.round6(F.coalesce("dwell", F.lit(0.0))).alias("avg_dwell"))
 
 
 def quality(feedback: DataFrame) -> DataFrame:
@@ -120,17 +126,26 @@ def position_bias(interactions: DataFrame, positions: int = 20) -> DataFrame:
 def pairwise(interactions: DataFrame) -> DataFrame:
     """query_id, doc1, doc2, label, pos_diff, pos_ratio: pairs of a query's interactions, in order of position, with a clicked one.
 
-    label is 1 if only the first's position was clicked, 0 if only the second's, else by value, 0.5 for equal values.
+    label is 1 if only the first's position was clicked, 0 if only the second's, else by value, 0.5 for equal values.  Where interactions have a
+    score or views, score_diff and views_diff (of ln(1 + views)) are given too, null where one side has none.
     """
     w = Window.partitionBy("query_id")
     hit = F.max(is_("click").cast("int")).over(Window.partitionBy("query_id", "position")) == 1
     nth = F.row_number().over(w.orderBy("position", "ts", "document_id"))
-    rows = interactions.select("query_id", "document_id", "position", "value", hit.alias("hit"), nth.alias("nth"))
-    # the clicked side alone is joined with all: pairs without a click are never made
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.nth") < F.col("b.nth")) & (F.col("a.hit") | F.col("b.hit")))
-    label = F.when(F.col("a.hit") & ~F.col("b.hit"), 1.0).when(~F.col("a.hit") & F.col("b.hit"), 0.0).when(F.col("a.value") > F.col("b.value"), 1.0).when(F.col("a.value") < F.col("b.value"), 0.0).otherwise(0.5)
-    return pairs.select("a.query_id", F.col("a.document_id").alias("doc1"), F.col("b.document_id").alias("doc2"), label.alias("label"), (F.col("b.position") - F.col("a.position")).cast("double").alias("pos_diff"), D.round6(F.col("a.position") / F.col("b.position")).alias("pos_ratio"))
+    extra = [c for c in ("score", "views") if c in interactions.columns]
+    rows = interactions.select("query_id", "document_id", "position", "value", *extra, hit.alias("hit"), nth.alias("nth"))
+    # pairs without a click are never made: the clicked rows meet all that follow, and those not clicked the clicked ones that follow
+    first = rows.select(*(F.col(c).alias(f"{c}1") for c in rows.columns))
+    second = rows.select(*(F.col(c).alias(f"{c}2") for c in rows.columns))
+    after = (F.col("query_id1") == F.col("query_id2")) & (F.col("nth1") < F.col("nth2"))
+    pairs = first.where("hit1").join(second, after).unionByName(first.where("not hit1").join(second.where("hit2"), after))
+    label = F.when(F.col("hit1") & ~F.col("hit2"), 1.0).when(~F.col("hit1") & F.col("hit2"), 0.0).when(F.col("value1") > F.col("value2"), 1.0).when(F.col("value1") < F.col("value2"), 0.0).otherwise(0.5)
+    found = [F.col("query_id1").alias("query_id"), F.col("document_id1").alias("doc1"), F.col("document_id2").alias("doc2"), label.alias("label"), (F.col("position2") - F.col("position1")).cast("double").alias("pos_diff"), D.round6(F.col("position1") / F.col("position2")).alias("pos_ratio")]
+    if "score" in extra:
+        found.append(D.round6(F.col("score1") - F.col("score2")).alias("score_diff"))
+    if "views" in extra:
+        found.append(D.round6(F.log1p(F.col("views1").cast("double")) - F.log1p(F.col("views2").cast("double"))).alias("views_diff"))
+    return pairs.select(*found)
 
 
 def relevance(features: Column, weights: dict[str, float]) -> Column:
@@ -160,29 +175,36 @@ def sessions(interactions: DataFrame, timeout_s: int = 1800) -> DataFrame:
 
 
 def sessions_from_start(interactions: DataFrame, timeout_s: int = 1800) -> DataFrame:
-    """user_id, session, start, events: a session lasts timeout_s from its first event, whatever follows; an ordered fold by user."""
-    start = F.struct(F.array().cast("array<struct<start:bigint,n:bigint>>").alias("done"))
-
-    def add(a: Column, t: Column) -> Column:
-        done = a["done"]
-        last = F.get(done, F.size(done) - 1)
-        fresh = (F.size(done) == 0) | (t - last["start"] > timeout_s * 1_000_000)
-        grown = F.array_append(F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1)), F.struct(last["start"].alias("start"), (last["n"] + 1).alias("n")))
-        return F.struct(F.when(fresh, F.array_append(done, F.struct(t.alias("start"), F.lit(1).cast("bigint").alias("n")))).otherwise(grown).alias("done"))
-
-    g = interactions.groupBy("user_id").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("t"))
-    rows = g.select("user_id", F.posexplode(F.aggregate("t", start, add)["done"]).alias("i", "s"))
-    return rows.select("user_id", (F.col("i") + 1).alias("session"), F.timestamp_micros("s.start").cast("timestamp_ntz").alias("start"), F.col("s.n").alias("events"))
-
-
-def interests(increments: DataFrame, decay: float = 0.95, least: float = 0.01) -> DataFrame:
-    """user_id, topic, score of increments(user_id, ts, topic, value): at each, all of the user's scores decay, then its topic's grows; scores under least are dropped.
+    """user_id, session, start, events: a session lasts timeout_s from its first event, whatever follows.
 
-    In closed form, value * decay ** (the user's later increments); what the drops would forget on the way is below least each time.
+    A user's events come sorted and pass once; only the session at hand is held.  Null users have no sessions, events without a time belong to none.
     """
-    later = F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("topic").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    g = increments.withColumn("x", F.col("value") * F.pow(F.lit(decay), later)).groupBy("user_id", "topic").agg(D.round6(F.sum("x")).alias("score"))
-    return g.where(F.col("score") >= least)
+    step = timeout_s * 1_000_000
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, nth, start, events = None, 0, 0, 0
+        for batch in batches:
+            users, ts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            out, i = [], 0
+            while i < len(users):
+                if user != users[i] or ts[i] - start > step:
+                    if events:
+                        out.append((user, nth, start, events))
+                    user, nth, start, events = int(users[i]), (nth + 1 if user == users[i] else 1), int(ts[i]), 0
+                end = i + int(np.searchsorted(users[i:], user, "right"))
+                stop = i + int(np.searchsorted(ts[i:end], start + step, "right"))
+                events, i = events + stop - i, stop
+            yield _session_rows(out)
+        yield _session_rows([(user, nth, start, events)] if events else [])
+
+    rows = interactions.where("user_id is not null and ts is not null").select(F.col("user_id").cast("bigint").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "t").mapInArrow(work, "user_id bigint, session int, start bigint, events bigint")
+    return rows.select("user_id", "session", F.timestamp_micros("start").cast("timestamp_ntz").alias("start"), "events")
+
+
+def _session_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["user_id", "session", "start", "events"])
 
 
 def top_interests(scores: DataFrame, n: int = 5) -> DataFrame:

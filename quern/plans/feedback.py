@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import distance as D
 from quern.operators import feedback as B
+from quern.operators import personal as P
 
 TYPES = {"view": "impression", "click": "click", "purchase": "dwell", "error": "rating", "signup": "bookmark"}
 
@@ -47,8 +48,7 @@ def ctr_optimal_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interest_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = interactions(spark, sf_dir).where("type in ('click', 'dwell', 'rating')")
-    gain = F.when(F.col("type") == "click", 0.3).when(F.col("type") == "dwell", F.col("value") / 60).otherwise(F.col("value") / 5)
-    return B.interests(x.select("user_id", "ts", (F.col("document_id") % 7).cast("string").alias("topic"), gain.alias("value")))
+    return P.interests(x.select("user_id", "ts", (F.col("document_id") % 7).cast("string").alias("topic"), P.gain(F.col("type"), F.col("value")).alias("value")))
 
 
 def interest_top(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,11 @@ _FEEDBACK = """f AS (SELECT document_id, count(*) AS views, count(*) FILTER (typ
     o AS (SELECT document_id, type, value, row_number() OVER (PARTITION BY document_id ORDER BY ts, query_id, type, value) AS i FROM x),
     dw AS (SELECT document_id, list([i, value] ORDER BY i) AS l FROM o WHERE type = 'dwell' GROUP BY document_id),
     fb AS (SELECT f.*, coalesce(list_reduce(l, lambda a, b: [b[1], (a[2] * (b[1] - 1) + b[2]) / b[1]], [0.0::DOUBLE, 0.0::DOUBLE])[2], 0) AS avg_dwell FROM f LEFT JOIN dw USING (document_id))"""
-_GAIN = "g AS (SELECT user_id, ts, (document_id % 7)::VARCHAR AS topic, CASE type WHEN 'click' THEN 0.3::DOUBLE WHEN 'dwell' THEN value / 60 ELSE value / 5 END AS value FROM x WHERE type IN ('click', 'dwell', 'rating')), gi AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, topic DESC) - 1 AS later FROM g), sc AS (SELECT user_id, topic, round(sum(value * pow(0.95::DOUBLE, later)), 6) AS score FROM gi GROUP BY ALL)"
+_GAIN = """g AS (SELECT user_id, ts, document_id % 7 AS topic, CASE type WHEN 'click' THEN 0.3::DOUBLE WHEN 'dwell' THEN value / 60 ELSE value / 5 END AS value FROM x WHERE type IN ('click', 'dwell', 'rating')),
+    gi AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, topic) AS i FROM g),
+    st AS (SELECT user_id, 0::BIGINT AS i, [0.0::DOUBLE, 0, 0, 0, 0, 0, 0] AS s FROM g GROUP BY user_id
+        UNION ALL SELECT user_id, gi.i, list_transform(range(0, 7), lambda k: CASE WHEN s[k + 1] * 0.95::DOUBLE + CASE WHEN k = topic THEN value ELSE 0 END < 0.01 THEN 0 ELSE s[k + 1] * 0.95::DOUBLE + CASE WHEN k = topic THEN value ELSE 0 END END) FROM st JOIN gi USING (user_id) WHERE gi.i = st.i + 1),
+    last AS (SELECT user_id, s FROM st QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1), sc AS (SELECT user_id, topic::VARCHAR AS topic, round(s[topic + 1], 6) AS score FROM last, range(0, 7) t(topic) WHERE s[topic + 1] >= 0.01)"""
 
 ORACLE_SQL = {
     "ctr_document": f"WITH {_X} {_ctr('document_id', 'document_id')}",
@@ -130,7 +134,19 @@ ORACLE_SQL = {
     "ctr_optimal_ranking": f"""WITH {_X}, d AS ({_ctr('document_id', 'document_id')}), p AS ({_ctr('position', 'position')}), l AS (SELECT query_id AS list_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY document_id) AS position FROM (SELECT DISTINCT query_id, document_id FROM x WHERE type = 'click')),
         s AS (SELECT list_id, position, document_id, round(CASE WHEN p.ctr > 0 THEN coalesce(d.ctr * 0.5, 0) / p.ctr ELSE coalesce(d.ctr * 0.5, 0) END, 6) AS score FROM l LEFT JOIN d USING (document_id) LEFT JOIN p USING (position))
         SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, position) AS rank, document_id, score FROM s""",
-    "interest_decay": f"WITH {_X}, {_GAIN} SELECT * FROM sc WHERE score >= 0.01",
-    "interest_top": f"WITH {_X}, {_GAIN} SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, topic) AS rank FROM sc WHERE score >= 0.01 QUALIFY rank <= 2",
+    "interest_decay": f"WITH RECURSIVE {_X}, {_GAIN} SELECT * FROM sc",
+    "interest_top": f"WITH RECURSIVE {_X}, {_GAIN} SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, topic) AS rank FROM sc QUALIFY rank <= 2",
     "latency_stats": f"WITH {_X}, r AS (SELECT type AS key, value, row_number() OVER (PARTITION BY type ORDER BY ts DESC) AS nth FROM x), g AS (SELECT key, count(*) AS n, avg(value) AS mean, list_sort(list(value)) AS v FROM r WHERE nth <= 1000 GROUP BY key) SELECT key, n, round(mean, 6) AS mean, v[floor(n * 0.5)::INT + 1] AS p50, v[floor(n * 0.95)::INT + 1] AS p95, v[floor(n * 0.99)::INT + 1] AS p99 FROM g",
 }
+
+ORACLE_SQL |= {
+    "sessions_start": f"""WITH RECURSIVE {_X}, r AS (SELECT user_id, 1 AS session, min(ts) AS start FROM x GROUP BY user_id
+        UNION ALL SELECT r.user_id, r.session + 1, n.start FROM r JOIN LATERAL (SELECT min(ts) AS start FROM x WHERE x.user_id = r.user_id AND x.ts > r.start + INTERVAL 1 DAY) n ON n.start IS NOT NULL)
+        SELECT r.user_id, session, start, count(*) AS events FROM r JOIN x ON x.user_id = r.user_id AND x.ts >= start AND x.ts <= start + INTERVAL 1 DAY GROUP BY ALL""",
+    "rerank_contextual": f"""WITH {_X}, c AS (SELECT query_id AS list_id, position, epoch_us(ts) AS id, 1 / position AS score, value / 100 AS vs, document_id AS views, value % 5 AS rating, ts, [0.85::DOUBLE, 0.5, 0.5, 0.9][CASE document_id % 4 WHEN 0 THEN 4 ELSE document_id % 4 END] AS authority, document_id % 3 AS t1, document_id % 5 AS t2 FROM x WHERE type = 'click'),
+        b AS (SELECT *, [t1, t2] AS topics, (epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts))) / 86400 AS days, row_number() OVER (PARTITION BY list_id ORDER BY position, id) AS nth FROM c),
+        l AS (SELECT a.list_id, a.id, a.nth, max(len(list_intersect(a.topics, p.topics)) / greatest(1, len(list_distinct(a.topics)) + 2 - len(list_intersect(a.topics, p.topics)))) AS alike FROM b a JOIN b p ON a.list_id = p.list_id AND p.nth < a.nth GROUP BY ALL),
+        s AS (SELECT b.list_id, b.position, b.id, round((2 * score + 0.5 * vs + 0.5 * 0.5 - 0.1 * abs(vs - 0.5) + 0.2 * ln(1 + views) + 0.3 * rating + 0.15 / (1 + days) + 0.25 * authority)
+            * (1 + 0.2::DOUBLE * CASE t1 WHEN 0 THEN 0.5 WHEN 4 THEN 1 ELSE 0 END) * (1 + 0.2::DOUBLE * CASE t2 WHEN 0 THEN 0.5 WHEN 4 THEN 1 ELSE 0 END) * (0.8::DOUBLE + 0.2 * exp(-days / 30)) * (1 - 0.3::DOUBLE * coalesce(alike, 0)), 6) + 0.0 AS score FROM b LEFT JOIN l USING (list_id, id, nth))
+        SELECT list_id, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, position, id) AS rank, id, score FROM s""",
+}
