@@ -63,9 +63,16 @@ def _matrix(batch: pa.RecordBatch, i: int, prefix: str) -> tuple[np.ndarray, np.
 def distances(q: np.ndarray, v: np.ndarray, metric: str, digits: int = 6) -> np.ndarray:
     """Rounded distances of all rows of q and v; cosine of a vector without length is 1, dot is negated."""
     if metric == "l2":
-        d = np.empty((len(q), len(v)))
-        for a in range(0, len(q), 64):  # differences, not norms: equal vectors are at exactly 0
-            d[a : a + 64] = np.sqrt(((q[a : a + 64, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+        size = (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :]
+        d = q @ v.T
+        d *= -2
+        d += size
+        near = d < 1e-5 * size  # where the product cancels, differences are exact: equal vectors are at 0
+        np.sqrt(np.maximum(d, 0, out=d), out=d)
+        r, c = np.nonzero(near)
+        for a in range(0, len(r), 1 << 16):
+            i, j = r[a : a + (1 << 16)], c[a : a + (1 << 16)]
+            d[i, j] = np.sqrt(((q[i] - v[j]) ** 2).sum(axis=1))
     elif metric == "dot":
         d = -(q @ v.T)
     elif metric == "cosine":

@@ -41,6 +41,19 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     return pairs.where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), D.round6(1 - F.col("dist")).alias("similarity"))
 
 
+def find_similar(queries: DataFrame, vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """query_id, id, similarity: the vectors with a cosine of at least threshold to each of queries."""
+    found = K.range_search(queries, vectors, round(1 - threshold, 6), "cosine")
+    return found.select("query_id", "id", D.round6(1 - F.col("dist")).alias("similarity"))
+
+
+def promoted(vectors: DataFrame, removed: DataFrame) -> DataFrame:
+    """original, copies of each group of equal vectors once removed(id) are gone: the least id left is the original; a group without any is left out."""
+    rows = vectors.toDF("id", "vector").where("vector is not null").join(removed.select("id"), "id", "left_anti")
+    key = F.transform(F.col("vector").cast("array<double>"), lambda x: x + F.lit(0.0))
+    return rows.groupBy(key.alias("v")).agg(F.min("id").alias("original"), F.count(F.lit(1)).alias("copies")).drop("v")
+
+
 def representatives(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, representative: the least id among a vector and what is near it."""
     low = pairs.groupBy("b").agg(F.min("a").alias("low"))

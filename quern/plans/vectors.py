@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from quern.functions import distance as D
 from quern.operators import clustering, knn, quantization, vector_dedup
 
-COPIES = 100_000  # ids of repeated vectors start here
-
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -25,9 +23,9 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors, and those of odd label once more."""
+    """The vectors, and those of odd label once more under ids below zero, which no vector has."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    again = rows.where("label % 2 = 1").select((F.col("vec_id") + COPIES).alias("id"), F.col("embedding").alias("vector"))
+    again = rows.where("label % 2 = 1").select((-F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("vector"))
     return vectors(spark, sf_dir).unionByName(again)
 
 
@@ -152,11 +150,65 @@ def sq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.aggregate("code", F.lit(0), lambda a, x: a + x).cast("bigint").alias("code_sum"), D.round6(quantization.mse(F.col("vector"), back)).alias("mse"), F.lit(quantization.ratio(64, 64 * 8)).alias("ratio"))
 
 
-def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes by a book that has the labels' centroids' parts as its centroids, and the asymmetric distance of a vector to its own code."""
+def _label_book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book that has the labels' centroids' parts as its centroids."""
     parts = quantization.parts_for(64)
-    book = label_centroids(spark, sf_dir).select(F.col("cluster_id").cast("int").alias("k"), F.explode(F.array(*(F.struct(F.lit(m).alias("m"), quantization.subvector(F.col("centroid"), m, parts).alias("centroid")) for m in range(parts)))).alias("s")).select("s.m", "k", "s.centroid")
-    return quantization.pq_codes(vectors(spark, sf_dir), book, parts).select("id", F.posexplode("code").alias("m", "code"))
+    subs = F.array(*(F.struct(F.lit(m).alias("m"), quantization.subvector(F.col("centroid"), m, parts).alias("centroid")) for m in range(parts)))
+    return label_centroids(spark, sf_dir).select(F.col("cluster_id").cast("int").alias("k"), F.explode(subs).alias("s")).select("s.m", "k", "s.centroid")
+
+
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantization.pq_codes(vectors(spark, sf_dir), _label_book(spark, sf_dir), quantization.parts_for(64)).select("id", F.posexplode("code").alias("m", "code"))
+
+
+def pq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = quantization.pq_codes(vectors(spark, sf_dir), _label_book(spark, sf_dir), quantization.parts_for(64)).crossJoin(F.broadcast(quantization.book_of(_label_book(spark, sf_dir))))
+    rows = codes.select("id", F.posexplode(quantization.pq_decode(F.col("code"), F.col("book"))).alias("d", "x"))
+    return rows.select("id", "d", D.round6(F.col("x")).alias("x"))
+
+
+def pq_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against all codes: by its table of distances, and by its own code."""
+    parts, book = quantization.parts_for(64), _label_book(spark, sf_dir)
+    codes = quantization.pq_codes(vectors(spark, sf_dir), book, parts)
+    one = F.broadcast(quantization.book_of(book))
+    q = vectors(spark, sf_dir).where("id % 50 = 0").crossJoin(one).select(F.col("id").alias("query_id"), quantization.table_of(F.col("vector"), F.col("book"), parts).alias("table"), "book")
+    q = q.join(codes.select(F.col("id").alias("query_id"), F.col("code").alias("own")), "query_id")
+    rows = q.crossJoin(codes)  # a stated set of queries against all codes
+    return rows.select("query_id", "id", D.round6(quantization.by_table(F.col("table"), F.col("code"))).alias("asymmetric"), D.round6(quantization.symmetric(F.col("own"), F.col("code"), F.col("book"))).alias("symmetric"))
+
+
+def pq_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, book = vectors(spark, sf_dir), _label_book(spark, sf_dir)
+    return quantization.validation(v, quantization.pq_codes(v, book, quantization.parts_for(64)), book)
+
+
+def vec_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of the vectors, doubled, brought to length 1."""
+    v = vectors(spark, sf_dir).select("id", F.posexplode(D.normalize(F.transform("vector", lambda x: x * 2))).alias("d", "x"))
+    return v.select("id", "d", D.round6(F.col("x")).alias("x"))
+
+
+def sq_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = vectors(spark, sf_dir)
+    rows = v.crossJoin(F.broadcast(quantization.packed_ranges(quantization.ranges(v))))
+    return rows.select("id", F.posexplode(quantization.encode(F.col("vector"), F.col("lows"), F.col("highs"))).alias("d", "code"))
+
+
+def find_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors with a cosine of at least 0.5 to every fiftieth one."""
+    return vector_dedup.find_similar(vectors(spark, sf_dir).where("id % 50 = 0"), repeated(spark, sf_dir), 0.5)
+
+
+def dedup_promoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal vectors after every third vector was removed: the next one is the original."""
+    v = repeated(spark, sf_dir)
+    return vector_dedup.promoted(v, v.where("id % 3 = 0").select("id")).select("original", "copies")
+
+
+def dedup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every duplicate with its original."""
+    return vector_dedup.exact_groups(repeated(spark, sf_dir)).select("original", F.explode("duplicates").alias("duplicate"))
 
 
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +247,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_filtered, knn_prefix, range_search, range_search_limited, knn_ivf, knn_two_stage, recall_at_k, vec_metrics, vec_norm, vec_validate, centroid_by_label, nearest_centroid, kmeans_step,
-        cluster_inertia, cluster_quality, cluster_silhouette, cluster_balanced, cluster_rebalance, cluster_elbow, sq_ranges, sq_encode, pq_encode,
+        cluster_inertia, cluster_quality, cluster_silhouette, cluster_balanced, cluster_rebalance, cluster_elbow, sq_ranges, sq_encode, pq_encode, pq_decode, pq_distances, pq_validation, vec_normalized, sq_codes, find_similar, dedup_promoted, dedup_members,
         dedup_exact, dedup_near_pairs, dedup_representatives, dedup_fingerprint, dedup_hamming, dedup_stats,
     )
 }
@@ -205,7 +257,7 @@ _L2 = "round(list_distance(a.v, b.v), 6) + 0.0"
 _PAIRS = f"SELECT a.id AS query_id, b.id AS id, {{d}} AS dist FROM v a, {{b}} b"
 _TOP = "SELECT query_id, rank, id, dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank FROM ({p})) WHERE rank <= 10"
 _C = "e AS (SELECT label, unnest(v) AS x, unnest(range(64)) AS d FROM v), cd AS (SELECT label, d, avg(x) AS x FROM e GROUP BY ALL), c AS (SELECT label::BIGINT AS id, list(x ORDER BY d) AS v FROM cd GROUP BY label)"
-_R = f"WITH {_V}, r AS (SELECT id, v FROM v UNION ALL SELECT id + {COPIES}, v FROM v WHERE label % 2 = 1)"
+_R = f"WITH {_V}, r AS (SELECT id, v FROM v UNION ALL SELECT -id - 1, v FROM v WHERE label % 2 = 1)"
 
 
 def _top(d: str, b: str = "v") -> str:
@@ -258,3 +310,21 @@ ORACLE_SQL = {
     "dedup_representatives": _R + f", p AS ({_NEAR.format(t=0.05)}) SELECT id, least(id, (SELECT min(a) FROM p WHERE b = id)) AS representative FROM r",
     "dedup_stats": _R + f", p AS ({_NEAR.format(t=0.05)}), g AS (SELECT count(*) AS n FROM r GROUP BY v) SELECT (SELECT count(*) FROM r) AS vectors, (SELECT sum(n - 1) FROM g)::BIGINT AS exact, (SELECT count(DISTINCT b) FROM p) AS near, (SELECT sum(n - 1) FROM g)::BIGINT * 256 AS bytes_saved",
 }
+
+_PQ = f"WITH {_V}, {_C}, pq AS (SELECT a.id, m, b.id AS code, b.v[8 * m + 1 : 8 * m + 8] AS c FROM v a, c b, (SELECT unnest(range(8)) AS m) QUALIFY row_number() OVER (PARTITION BY a.id, m ORDER BY round(list_distance(a.v[8 * m + 1 : 8 * m + 8], b.v[8 * m + 1 : 8 * m + 8]) ** 2, 6), b.id) = 1)"
+_PLANES = ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in row) + "]" for row in vector_dedup.hyperplanes(64).tolist())
+ORACLE_SQL |= {
+    "pq_decode": _PQ + " SELECT id, (8 * m + i - 1)::INT AS d, round(c[i], 6) + 0.0 AS x FROM pq, range(1, 9) t(i)",
+    "pq_distances": _PQ + """ SELECT q.id AS query_id, p.id, round(sum(list_distance(q.v[8 * p.m + 1 : 8 * p.m + 8], p.c) ** 2), 6) + 0.0 AS asymmetric, round(sum(list_distance(o.c, p.c) ** 2), 6) + 0.0 AS symmetric
+        FROM v q JOIN pq o USING (id) JOIN pq p ON p.m = o.m WHERE q.id % 50 = 0 GROUP BY q.id, p.id""",
+    "pq_validation": _PQ + ", g AS (SELECT id, sum(list_distance(v[8 * m + 1 : 8 * m + 8], c) ** 2) AS g FROM pq JOIN v USING (id) GROUP BY id) SELECT count(*) AS vectors, round(avg(g / 64), 6) AS mse, round(avg(sqrt(g)), 6) AS mean_error, round(max(sqrt(g)), 6) AS max_error FROM g",
+    "vec_normalized": f"WITH {_V} SELECT id, (d - 1)::INT AS d, round(v[d] / sqrt(list_inner_product(v, v)), 6) + 0.0 AS x FROM v, range(1, 65) t(d)",
+    "sq_codes": _SQ + ", w AS (SELECT id, unnest(range(64)) AS d, unnest(v) AS x FROM v) SELECT id, d::INT AS d, floor((greatest(lo, least(hi, x)) - lo) * (255.0::DOUBLE / (hi - lo)) + 0.5::DOUBLE)::INT AS code FROM w JOIN rg USING (d)",
+    "find_similar": _R + " SELECT a.id AS query_id, b.id, round(1 - (round(1 - list_cosine_similarity(a.v, b.v), 6) + 0.0), 6) + 0.0 AS similarity FROM v a, r b WHERE a.id % 50 = 0 AND round(1 - list_cosine_similarity(a.v, b.v), 6) <= 0.5",
+    "dedup_promoted": _R + " SELECT min(id) AS original, count(*) AS copies FROM r WHERE id % 3 <> 0 GROUP BY v",
+    "dedup_members": _R + ", g AS (SELECT id, min(id) OVER (PARTITION BY v) AS original FROM r) SELECT original, id AS duplicate FROM g WHERE id <> original",
+    "dedup_hamming": _R + f", h AS (SELECT id, list_sum([CASE WHEN list_inner_product(v, p[i + 1]) >= 0 THEN 1::BIGINT << i ELSE 0 END for i in range(0, 32)])::BIGINT AS s FROM r, (SELECT [{_PLANES}] AS p)) SELECT a.id AS a, b.id AS b, bit_count(xor(a.s, b.s))::INT AS differ FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.s, b.s)) <= 3",
+    "knn_two_stage": _SQ + f""", w AS (SELECT id, unnest(range(64)) AS d, unnest(v) AS x FROM v), dc AS (SELECT id, list(lo + floor((greatest(lo, least(hi, x)) - lo) * (255.0::DOUBLE / (hi - lo)) + 0.5::DOUBLE) / (255.0::DOUBLE / (hi - lo)) ORDER BY d) AS v FROM w JOIN rg USING (d) GROUP BY id),
+        cd AS (SELECT a.id AS query_id, b.id FROM v a, dc b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) <= 40), xt AS (SELECT query_id, cd.id, round(list_distance(a.v, b.v), 6) + 0.0 AS dist FROM cd JOIN v a ON a.id = query_id JOIN v b ON b.id = cd.id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank, id, dist FROM xt QUALIFY rank <= 10""",
+}

@@ -2,8 +2,8 @@
 
 A store is a folder.  vectors/ holds versions (collection, id, values, metadata, version, deleted), partitioned by
 collection; the catalogue is catalog/, versioned alike.  Nothing is overwritten in place: writes append, reads
-take the latest version of an id and drop deleted ones, and `compact` rewrites a collection into a new generation that takes effect by
-its manifest.  A null id or null values are refused by `validated`.
+take the latest version of an id and drop deleted ones.  A store has one writer at a time.  A null id or null values are refused by `validated`.
+A `Log` keeps entries in segments that are rotated by size and truncated by entry.
 """
 
 from __future__ import annotations
@@ -39,6 +39,65 @@ def replayed(log: DataFrame) -> DataFrame:
     return latest(good.withColumn("deleted", F.col("operation") == "delete"), "collection", "vector_id", order="entry_id").drop("deleted")
 
 
+def _tombstones(rows: DataFrame) -> DataFrame:
+    """Rows that delete those of rows: their ids, without values."""
+    return rows.select("id", F.lit(None).cast("array<float>").alias("values"), F.lit(None).cast("map<string,string>").alias("metadata"), F.lit(True).alias("deleted"))
+
+
+class Log:
+    """A log of entries in a folder: segments of Parquet files, one file or more for each append.
+
+    An append that takes the last segment over `most_bytes` begins the next one.  Entry ids ascend with appends and are unique.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, most_bytes: int = 100 << 20):
+        self.spark, self.path, self.most_bytes = spark, path.rstrip("/"), most_bytes
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def segments(self) -> list[str]:
+        path, fs = self._fs()
+        at = path(self.path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def entries(self) -> DataFrame:
+        names = self.segments()
+        return self.spark.read.schema(WAL).parquet(*(f"{self.path}/{n}" for n in names)) if names else self.spark.createDataFrame([], WAL)
+
+    def append(self, rows: DataFrame) -> None:
+        """Add rows(ts, operation, collection, vector_id, data) with their checksums, after all entries before."""
+        last = self.entries().agg(F.max("entry_id")).first()[0]
+        first = last + 1 if last is not None else 0
+        each = rows.select((F.monotonically_increasing_id() + first).alias("entry_id"), F.col("ts").cast("timestamp").alias("ts"), "operation", "collection", "vector_id", "data", checksum(F.col("data")).alias("checksum"))
+        path, fs = self._fs()
+        names = self.segments()
+        name = names[-1] if names else f"{0:09d}"
+        if names and fs.getContentSummary(path(f"{self.path}/{name}")).getLength() >= self.most_bytes:
+            name = f"{int(name) + 1:09d}"
+        each.write.mode("append").parquet(f"{self.path}/{name}")
+
+    def rotate(self) -> None:
+        """Begin a new segment, whatever the size of the last one."""
+        path, fs = self._fs()
+        names = self.segments()
+        if names:
+            self.spark.createDataFrame([], WAL).coalesce(1).write.parquet(f"{self.path}/{int(names[-1]) + 1:09d}")
+
+    def truncate(self, before: int) -> list[str]:
+        """Delete the segments all of whose entries come before an entry, but never the last one; their names."""
+        path, fs = self._fs()
+        gone = []
+        for name in self.segments()[:-1]:
+            most = self.spark.read.schema(WAL).parquet(f"{self.path}/{name}").agg(F.max("entry_id")).first()[0]
+            if most is not None and most >= before:
+                break
+            fs.delete(path(f"{self.path}/{name}"), True)
+            gone.append(name)
+        return gone
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -71,7 +130,7 @@ class Store:
         """The collection and all its vectors."""
         info = self._info(name)
         row = [(name, info["dimension"], info["index_type"], info["distance"], {}, self._next(self._rows("catalog", CATALOG)), True)]
-        self._append(name, self.vectors(name).withColumn("deleted", F.lit(True)))
+        self._append(name, _tombstones(self.vectors(name)))
         self.spark.createDataFrame(row, CATALOG).coalesce(1).write.mode("append").parquet(f"{self.path}/catalog")
 
     def _info(self, name: str):
@@ -107,11 +166,11 @@ class Store:
         return rows.withColumn("problem", D.problem(F.col("id"), F.col("values"), self._info(name)["dimension"]))
 
     def put(self, name: str, rows: DataFrame) -> int:
-        """Insert or replace rows(id, values, metadata); all or none: any that isn't valid refuses the batch.  Of equal ids in a batch any one stays."""
+        """Insert or replace rows(id, values, metadata); all or none: any that isn't valid refuses the batch.  Of equal ids in a batch the last row stays, by the order of partitions and of rows in them."""
         bad = self.validated(name, rows).where("problem is not null").select("problem").first()
         if bad:
             raise ValueError(f"a vector isn't valid: {bad['problem']}")
-        rows = rows.dropDuplicates(["id"])
+        rows = latest(rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_gone", F.lit(False)), "id", order="_at", deleted="_gone").drop("_at", "_gone")
         self._append(name, rows.withColumn("deleted", F.lit(False)))
         return rows.count()
 
@@ -120,7 +179,7 @@ class Store:
         return self.put(name, rows.join(self.vectors(name).select("id"), "id", "left_semi"))
 
     def delete(self, name: str, ids: DataFrame) -> None:
-        self._append(name, self.vectors(name).join(ids.select("id"), "id", "left_semi").withColumn("deleted", F.lit(True)))
+        self._append(name, _tombstones(self.vectors(name).join(ids.select("id"), "id", "left_semi")))
 
     # exports
 
