@@ -169,3 +169,8 @@ ORACLE_SQL |= {
         FROM (SELECT *, CASE WHEN stop IS NULL THEN 0 ELSE stop - 100 END AS p, substr(text, (CASE WHEN stop IS NULL THEN 0 ELSE stop - 100 END) + 900, 101) AS w FROM r WHERE stop IS NULL OR stop < n))
         SELECT id, (chunk - 1)::INT AS chunk, md5(trim(substr(text, pos + 1, stop - pos), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160))) AS digest FROM r WHERE chunk > 0""",
 }
+ORACLE_SQL["chunk_sentences"] = f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {_SENT} AS s FROM documents), r AS (SELECT id, s, 0 AS i, '' AS now, NULL::VARCHAR AS done FROM d
+    UNION ALL SELECT id, s, i + 1, CASE WHEN big AND length(c) <= 100 THEN c || '  ' WHEN big AND contains(e, ' ') THEN e[strpos(e, ' ') + 1 :] || '  ' WHEN big THEN e || '  ' WHEN now <> '' THEN now || ' ' ELSE '' END || s[i + 1], CASE WHEN big THEN c END
+    FROM (SELECT *, trim(now) AS c, right(trim(now), 100) AS e, now <> '' AND strlen(now) + strlen(s[i + 1]) > 1000 AS big FROM r WHERE i < len(s))),
+    o AS (SELECT id, i, done AS t FROM r WHERE done IS NOT NULL UNION ALL SELECT id, i + 1, trim(now) FROM r WHERE i = len(s) AND now <> '')
+    SELECT id, (row_number() OVER (PARTITION BY id ORDER BY i) - 1)::INT AS chunk, strlen(t)::INT AS bytes, len({_FIELDS.replace('text', 't')})::INT AS words, md5(t) AS digest FROM o"""

@@ -64,22 +64,20 @@ def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of documents within one edit of those of the benchmark, of the letters a to z, for which the SQL's distance by bytes is the same; fuzzy_terms_all does the whole job."""
-    plain = lambda df: df.select(F.explode("terms").alias("term")).where("term rlike '^[a-z0-9]+$'").distinct()
-    return S.fuzzy_terms(plain(S.indexed(documents(spark, sf_dir))), plain(S.indexed(asked(spark, sf_dir))), 1)
-
-
-def fuzzy_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All terms of documents near those of the benchmark, within the operator's number of edits; no SQL, as DuckDB's levenshtein counts bytes."""
+    """All terms of documents within two edits of those of the benchmark."""
     every = lambda df: df.select(F.explode("terms").alias("term")).distinct()
     return S.fuzzy_terms(every(S.indexed(documents(spark, sf_dir))), every(S.indexed(asked(spark, sf_dir))))
 
 
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market segments and order priorities' words beside the words that have synonyms."""
-    keys = spark.createDataFrame([(k,) for k in L.SEARCH_SYNONYMS], "word string")
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lower("n_name").alias("name"))
-    return nations.crossJoin(keys).select("name", "word", F.array_join(S.expanded(F.array("name", "word")), ",").alias("expanded"))
+    """The terms of every turn of conversations, and of the words that have synonyms, with these, in order of the alphabet."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    keys = spark.createDataFrame([(-i - 1, f"{k} and others") for i, k in enumerate(L.SEARCH_SYNONYMS)], "id bigint, text string")
+    return turns.unionByName(keys).select("id", F.array_join(F.array_sort(S.expanded(T.terms(F.col("text")))), ",").alias("expanded"))
+
+
+def bm25_matched_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.matched_terms(documents(spark, sf_dir), asked(spark, sf_dir)).select("query_id", "id", F.array_join("terms", ",").alias("terms"))
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +119,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.hybrid(near, S.bm25(docs, q, 20), info=document_info(spark, sf_dir), as_of=F.lit("2024-02-01 00:00:00").cast("timestamp"))
 
 
-QUERIES = {f.__name__: f for f in (text_tokenize, text_stats, text_tf, text_df_idf, bm25_search, bm25_matched, bm25_field, phrase_search, fuzzy_terms, fuzzy_terms_all, synonyms, fuse_ranked, hybrid_search)} | {f"fuse_{m}": _fuse(m) for m in fusion.METHODS}
+QUERIES = {f.__name__: f for f in (text_tokenize, text_stats, text_tf, text_df_idf, bm25_search, bm25_matched, bm25_field, bm25_matched_terms, phrase_search, fuzzy_terms, synonyms, fuse_ranked, hybrid_search)} | {f"fuse_{m}": _fuse(m) for m in fusion.METHODS}
 
 _STOP = "(" + ", ".join(f"'{w}'" for w in L.SEARCH_STOP) + ")"
 _TERMS = "list_filter(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: w NOT IN " + _STOP + " AND strlen(w) > 1)"
@@ -158,9 +156,6 @@ ORACLE_SQL = {
         df AS (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL), qs AS (SELECT DISTINCT concat_ws(' ', p_name, p_type) AS query_id FROM part), q AS (SELECT query_id, unnest({_terms('query_id')}) AS term FROM qs), qt AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY ALL),
         h AS (SELECT query_id, id, round(sum(boost * times * {_IDF} * {_W}), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (field, term) JOIN st USING (field) GROUP BY ALL)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM h QUALIFY rank <= 10""",
-    "fuzzy_terms": f"""WITH {_INDEX}, q AS (SELECT DISTINCT unnest({_terms('text')}) AS wanted FROM benchmark) SELECT wanted, term, levenshtein(wanted, term)::INT AS distance, round(1 / (levenshtein(wanted, term) + 1), 6) AS score
-        FROM q, df WHERE regexp_matches(wanted, '^[a-z0-9]+$') AND regexp_matches(term, '^[a-z0-9]+$') AND abs(length(wanted) - length(term)) <= 1 AND levenshtein(wanted, term) = 1""",
-    "synonyms": "SELECT lower(n_name) AS name, word, lower(n_name) || ',' || word || ',' || s AS expanded FROM nation, (VALUES " + ", ".join(f"('{k}', '{','.join(v)}')" for k, v in L.SEARCH_SYNONYMS.items()) + ") t(word, s)",
     "fuse_rrf": _fused("w / (rank + 60)"),
     "fuse_linear": _fused("w * score"),
     "fuse_borda": _fused("w * exp(-0.1::DOUBLE * (rank - 1))"),
@@ -190,3 +185,13 @@ ORACLE_SQL |= {
         g AS (SELECT query_id, id, round(score * CASE WHEN id < 24 THEN 1.2::DOUBLE WHEN id < 168 THEN 1.1::DOUBLE ELSE 1 END * CASE WHEN source IN ('src0', 'src1') THEN 1.3::DOUBLE ELSE 1 END, 6) AS score FROM f JOIN documents ON doc_id = id)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, id, score FROM g QUALIFY rank <= 10""",
 }
+
+_LATIN, _OTHER = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœšž", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()*+,-"  # terms are lower-cased letters and digits: such signs stand for one byte each, as DuckDB's distance counts bytes
+ORACLE_SQL |= {
+    "fuzzy_terms": f"""WITH {_INDEX}, q AS (SELECT DISTINCT unnest({_terms('text')}) AS wanted FROM benchmark), a AS (SELECT wanted, translate(wanted, '{_LATIN}', '{_OTHER[: len(_LATIN)]}') AS w FROM q), b AS (SELECT term, translate(term, '{_LATIN}', '{_OTHER[: len(_LATIN)]}') AS t FROM df)
+        SELECT wanted, term, levenshtein(w, t)::INT AS distance, round(1 / (levenshtein(w, t) + 1), 6) AS score FROM a, b WHERE abs(length(w) - length(t)) <= 2 AND levenshtein(w, t) BETWEEN 1 AND 2""",
+    "synonyms": "WITH s AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{w}')" for k, v in L.SEARCH_SYNONYMS.items() for w in v) + f""") t(word, other)), r AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT * FROM (VALUES {", ".join(f"({-i - 1}, '{k} and others')" for i, k in enumerate(L.SEARCH_SYNONYMS))})),
+        t AS (SELECT id, unnest({_terms('text')}) AS word FROM r), e AS (SELECT id, word FROM t UNION SELECT id, other FROM t JOIN s USING (word)) SELECT r.id, coalesce(array_to_string(list(word ORDER BY word) FILTER (word IS NOT NULL), ','), '') AS expanded FROM r LEFT JOIN e USING (id) GROUP BY r.id""",
+    "bm25_matched_terms": f"""WITH ix AS (SELECT doc_id AS id, unnest(list_distinct({_terms('text')})) AS term FROM documents), bw AS (SELECT item_id, {_terms('text')} AS w FROM benchmark), q AS (SELECT query_id, term, min(pos) AS pos FROM (SELECT item_id AS query_id, unnest(w) AS term, unnest(range(len(w))) AS pos FROM bw) GROUP BY ALL)
+        SELECT query_id, id, array_to_string(list(term ORDER BY pos), ',') AS terms FROM q JOIN ix USING (term) GROUP BY ALL""",
+}
