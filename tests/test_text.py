@@ -102,6 +102,6 @@ def test_fuzzy_terms_over_all_terms_equal_brute_force(spark, tmp_path):
         return row[-1]
 
     want = {(a, b, d, round(1 / (d + 1), 6)) for a in terms(items) for b in terms(docs) if 1 <= (d := distance(a, b)) <= 2}
-    rows = [tuple(r) for r in registry.QUERIES["fuzzy_terms_all"](spark, str(tmp_path)).select("wanted", "term", "distance", "score").collect()]
+    rows = [tuple(r) for r in registry.QUERIES["fuzzy_terms"](spark, str(tmp_path)).select("wanted", "term", "distance", "score").collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert any(not a.isascii() and d == 2 for a, _, d, _ in want) and any(d == 1 and not b.isascii() for _, b, d, _ in want)
