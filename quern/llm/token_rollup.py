@@ -32,28 +32,40 @@ DELTA = "source string, lang string, tokenizer string, documents bigint, tokens
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, vocabulary: str, anew: Column | None = None) -> DataFrame:
-    """doc_id, source, lang, tokenizer, n_tokens for each row of docs(doc_id, text, source, lang).
+    """`count_all` under one tokenizer."""
+    return count_all(docs, {tokenizer: vocabulary}, anew)
 
-    tokenizer names the version under which the counts of this vocabulary file stand.  With anew, another text
-    of each row, n_anew is its count, from the same pass; rows where it is the same text aren't counted twice.
+
+def count_all(docs: DataFrame, vocabularies: dict[str, str], anew: Column | None = None) -> DataFrame:
+    """doc_id, source, lang, tokenizer, n_tokens for each row of docs(doc_id, text, source, lang) and each tokenizer.
+
+    vocabularies names the versions under which the counts of these vocabulary files stand; they split texts alike, so a text is read and split
+    once for all.  With anew, another text of each row, n_anew is its count, from the same pass; rows where it is the same text aren't counted twice.
     """
-    key, machine = bpe.compiled(vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    spark = docs.sparkSession
+    machines = [(name, *bpe.compiled(path)) for name, path in vocabularies.items()]
+    sent = [(name, key, spark.sparkContext.broadcast(machine)) for name, key, machine in machines]
     text = F.col("text").cast("string")
     other = F.when(~anew.eqNullSafe(text), anew) if anew is not None else F.lit(None).cast("string")
 
-    def counted(machine: bpe.Automaton, texts: pa.Array) -> np.ndarray:
-        return np.concatenate([np.zeros(0, np.int64), *(np.diff(machine.encode(Slice(texts.slice(a, b - a)))[1]) for a, b in slices(texts))])
+    def counted(own: list[bpe.Automaton], texts: pa.Array) -> np.ndarray:
+        out = [np.zeros((len(own), 0), np.int64)]
+        for a, b in slices(texts):
+            part = Slice(texts.slice(a, b - a))
+            split = bpe.Split(part)
+            out.append(np.stack([machine.count(part, split) for machine in own]))
+        return np.concatenate(out, axis=1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = bpe.automaton(key, sent)
+        own = [bpe.automaton(key, machine) for _, key, machine in sent]
         for batch in batches:
-            n = counted(machine, batch.column(3))
+            n = counted(own, batch.column(3))
             also = n.copy()
             differs = np.flatnonzero(batch.column(4).is_valid().to_numpy(zero_copy_only=False))
             if len(differs):
-                also[differs] = counted(machine, batch.column(4).take(pa.array(differs)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([tokenizer] * len(n), pa.string()), pa.array(n), pa.array(also)], ["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_anew"])
+                also[:, differs] = counted(own, batch.column(4).take(pa.array(differs)))
+            for k, (name, _, _) in enumerate(sent):
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([name] * batch.num_rows, pa.string()), pa.array(n[k]), pa.array(also[k])], ["doc_id", "source", "lang", "tokenizer", "n_tokens", "n_anew"])
 
     columns = (F.col("doc_id").cast("bigint").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("source", "lang")), text.alias("text"), other.alias("anew"))
     out = docs.select(*columns).mapInArrow(work, COUNTS + ", n_anew bigint")
@@ -183,13 +195,14 @@ def maintained(spark: SparkSession, sf_dir: str, folder: str | None = None, toke
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     flags = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.bool_or(F.col("toxic") == 1).alias("toxic"), F.bool_or(F.col("quality") == 0).alias("low"))
     store = Store(spark, folder or new_folder(spark, "rollup"))
-    for version, file in VERSIONS.items():
-        # texts are read and counted in one pass; only counts meet the labels
-        counts = stored(count_tokens(docs, version, f"{tokenizers}/{file}", without_repeated_lines(F.col("text"))), "counts")
-        counts = stored(counts.join(flags, "doc_id", "left"), "flagged")
-        store.commit(f"load/{version}", inserts(counts))
-        store.commit(f"load/{version}", inserts(counts))
-        store.commit(f"withdraw/{version}", deletes(counts.where("toxic")))
-        low = counts.where("low and not coalesce(toxic, false)")
+    # texts are read, split and counted in one pass; only counts meet the labels
+    counts = stored(count_all(docs, {v: f"{tokenizers}/{file}" for v, file in VERSIONS.items()}, without_repeated_lines(F.col("text"))), "counts")
+    counts = stored(counts.join(flags, "doc_id", "left"), "flagged")
+    for version in VERSIONS:
+        own = counts.where(F.col("tokenizer") == version)
+        store.commit(f"load/{version}", inserts(own))
+        store.commit(f"load/{version}", inserts(own))
+        store.commit(f"withdraw/{version}", deletes(own.where("toxic")))
+        low = own.where("low and not coalesce(toxic, false)")
         store.commit(f"revise/{version}", revisions(low, low.withColumn("n_tokens", F.col("n_anew"))))
     return store.totals()

@@ -70,14 +70,19 @@ def test_against_a_public_encoder_with_exact_round_trip(spark):
 
 
 def test_caches_that_overflow_change_nothing(monkeypatch):
+    import pickle
+
     _, machine = bpe.compiled(PATH)
     part = Slice(pa.array(HARD * 2))
     want = machine.encode(part)
-    monkeypatch.setattr(bpe, "_CACHE_WORDS", 5)
-    monkeypatch.setattr(bpe, "_CACHE_ARCS", 5)
+    small = pickle.loads(pickle.dumps(machine))
+    small.reset_arcs(2)
+    small.reset_words(2)
+    monkeypatch.setattr(bpe, "_CACHE_IDS", 50)
     for _ in range(3):
-        got = machine.encode(part)
+        got = small.encode(part)
         assert np.array_equal(want[0], got[0]) and np.array_equal(want[1], got[1])
+        assert np.array_equal(small.count(part, bpe.Split(part)), np.diff(want[1]))
 
 
 def test_long_words_equal_a_public_encoder_in_bounded_time(monkeypatch):
