@@ -36,8 +36,8 @@ from quern.llm.textvec import LETTER, NUMBER, OTHER, SPACE, Slice, classes, slic
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean"
-_CACHE_WORDS = 400_000
-_CACHE_ARCS = 600_000
+_CACHE_BITS = 20  # of the tables of words and of arcs that are known
+_CACHE_IDS = 8_000_000
 _SLICE = 1 << 19
 _LONG = 512  # bytes of a word from which on it is run by itself
 _BLOCK = 1 << 15
@@ -146,12 +146,24 @@ class Automaton:
             todo = todo[~hit & (have >= 0)]
         return out
 
-    def reset_arcs(self) -> None:
-        self.arc_keys, self.arc_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+    def reset_arcs(self, bits: int = _CACHE_BITS) -> None:
+        """An empty transition table: each pair of labels has one place, which the latest pair takes."""
+        self.arc_keys, self.arc_ok, self.arc_shift = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool), np.uint64(64 - bits)
 
-    def reset_words(self) -> None:
-        self.word_keys, self.word_at, self.word_n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.word_ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
+    def reset_words(self, bits: int = _CACHE_BITS) -> None:
+        """No words are known; as for arcs, each has one place.  Hash 0 stands for none."""
+        self.word_keys, self.word_at, self.word_n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.word_shift, self.word_ids, self.n_ids = np.uint64(64 - bits), np.zeros(1 << 16, np.int32), 0
+
+    def __getstate__(self) -> dict:
+        """Without what it learned: the tables are made anew where it is sent."""
+        learned = ("arc_keys", "arc_ok", "arc_shift", "word_keys", "word_at", "word_n", "word_shift", "word_ids", "n_ids")
+        return {k: v for k, v in self.__dict__.items() if k not in learned}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.reset_arcs()
+        self.reset_words()
 
     def _merge_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank at which x and y merge, or one above all."""
@@ -184,21 +196,18 @@ class Automaton:
     def allowed(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """`arcs` through the transition table; what isn't there yet is compiled."""
         key = (x.astype(np.int64) << 32) | y
-        i = np.searchsorted(self.arc_keys, key)
-        known = np.zeros(len(key), bool)
-        if len(self.arc_keys):
-            i = np.minimum(i, len(self.arc_keys) - 1)
-            known = self.arc_keys[i] == key
-        out = np.zeros(len(key), bool)
-        out[known] = self.arc_ok[i[known]]
-        if not known.all():
-            new, back = np.unique(key[~known], return_inverse=True)
+        at = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.arc_shift).astype(np.int64)
+        out = self.arc_ok[at]
+        miss = np.flatnonzero(self.arc_keys[at] != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
             ok = self.arcs(new >> 32, new & 0xFFFFFFFF)
-            out[~known] = ok[back]
-            if len(self.arc_keys) > _CACHE_ARCS:
-                self.reset_arcs()
-            at = np.searchsorted(self.arc_keys, new)
-            self.arc_keys, self.arc_ok = np.insert(self.arc_keys, at, new), np.insert(self.arc_ok, at, ok)
+            out[miss] = ok[back]
+            # of two pairs for one place one stays, with its own answer
+            place = at[miss]
+            self.arc_keys[place] = key[miss]
+            mine = self.arc_keys[place] == key[miss]
+            self.arc_ok[place[mine]] = out[miss[mine]]
         return out
 
     def run(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,34 +322,44 @@ class Automaton:
             at -= length[last[at]]
         return np.array(ids[::-1], np.int32)
 
-    def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of a slice, and the offset where each text's begin."""
-        s, e = presplit(part.cp, part.at)
-        if not len(s):
-            return np.zeros(0, np.int32), np.zeros(part.n + 1, np.int64)
-        words, first, back = np.unique(span_hashes(part.cp, s, e), return_index=True, return_inverse=True)
-        if len(self.word_keys) > _CACHE_WORDS:
-            self.reset_words()
-        i = np.searchsorted(self.word_keys, words)
-        known = np.zeros(len(words), bool)
-        if len(self.word_keys):
-            known = self.word_keys[np.minimum(i, len(self.word_keys) - 1)] == words
-        if not known.all():
-            width = 1 + (part.cp > 0x7F).astype(np.int64) + (part.cp > 0x7FF) + (part.cp > 0xFFFF)
-            byte = np.concatenate([[0], np.cumsum(width)])
-            new = first[~known]
-            ids, n = self.run(part.raw, byte[s[new]], byte[e[new]] - byte[s[new]])
+    def _known(self, part: Slice, split: "Split") -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the words of split stand in word_ids, and how many each has; new words are run first."""
+        words = split.words
+        if self.n_ids > _CACHE_IDS:
+            self.reset_words(64 - int(self.word_shift))
+        place = (words >> self.word_shift).astype(np.int64)
+        at, n = self.word_at[place], self.word_n[place].astype(np.int64)
+        miss = np.flatnonzero(self.word_keys[place] != words)
+        if len(miss):
+            new = split.first[miss]
+            starts, ends = split.byte(part, split.start[new]), split.byte(part, split.end[new])
+            ids, count = self.run(part.raw, starts, ends - starts)
             if self.n_ids + len(ids) > len(self.word_ids):
                 self.word_ids = np.concatenate([self.word_ids[: self.n_ids], np.zeros(max(self.n_ids, 2 * len(ids)), np.int32)])
             self.word_ids[self.n_ids : self.n_ids + len(ids)] = ids
-            at = self.n_ids + np.cumsum(n) - n
+            at[miss], n[miss] = self.n_ids + np.cumsum(count) - count, count
             self.n_ids += len(ids)
-            self.word_keys, self.word_at, self.word_n = (np.insert(old, i[~known], add) for old, add in ((self.word_keys, words[~known]), (self.word_at, at), (self.word_n, n)))
-            i = np.searchsorted(self.word_keys, words)
-        n = self.word_n[i][back]
-        out = self.word_ids[spread(self.word_at[i][back], n)]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return out, ends[np.searchsorted(s, part.at, "left")]
+            self.word_keys[place[miss]] = words[miss]
+            mine = miss[self.word_keys[place[miss]] == words[miss]]
+            self.word_at[place[mine]], self.word_n[place[mine]] = at[mine], n[mine]
+        return at, n
+
+    def encode(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and the offset where each text's begin."""
+        split = Split(part)
+        if not len(split.start):
+            return np.zeros(0, np.int32), np.zeros(part.n + 1, np.int64)
+        at, n = self._known(part, split)
+        each = n[split.back]
+        out = self.word_ids[spread(at[split.back], each)]
+        return out, np.concatenate([[0], np.cumsum(each)])[split.of]
+
+    def count(self, part: Slice, split: "Split") -> np.ndarray:
+        """How many ids each text of a slice has."""
+        if not len(split.start):
+            return np.zeros(part.n, np.int64)
+        _, n = self._known(part, split)
+        return np.diff(np.concatenate([[0], np.cumsum(n[split.back])])[split.of])
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the labels of ids, one after another."""
@@ -389,6 +408,23 @@ def presplit(cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, np.append(s[1:], n)
 
 
+class Split:
+    """The pre-tokens of a slice: start, end, of (the first of each text, and their number), and words, the distinct ones by hash, with first and back as np.unique gives them."""
+
+    def __init__(self, part: Slice):
+        self.start, self.end = presplit(part.cp, part.at)
+        self.of = np.searchsorted(self.start, part.at, "left")
+        self.words, self.first, self.back = np.unique(span_hashes(part.cp, self.start, self.end), return_index=True, return_inverse=True) if len(self.start) else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self._bytes: np.ndarray | None = None
+
+    def byte(self, part: Slice, at: np.ndarray) -> np.ndarray:
+        """The bytes before places given in characters."""
+        if self._bytes is None:
+            width = 1 + (part.cp > 0x7F).astype(np.int64) + (part.cp > 0x7FF) + (part.cp > 0xFFFF)
+            self._bytes = np.concatenate([[0], np.cumsum(width)])
+        return self._bytes[at]
+
+
 assert (OTHER, LETTER, NUMBER) == (0, 1, 2)
 _automata: dict[str, Automaton] = {}
 
@@ -403,7 +439,8 @@ def compiled(path: str) -> tuple[str, Automaton]:
 def automaton(key: str, sent) -> Automaton:
     """The automaton of this process for a vocabulary, from the broadcast one; it and its table serve all tasks of a worker."""
     if key not in _automata:
-        _automata.clear()
+        if len(_automata) > 1:
+            _automata.pop(next(iter(_automata)))
         _automata[key] = sent.value
     return _automata[key]
 
