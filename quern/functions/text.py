@@ -104,7 +104,7 @@ def sentiment_words(text: Column) -> Column:
     """Lower-cased words without URLs, addresses and signs, which split words."""
     text = F.regexp_replace(F.lower(text), "https?://[^ \\t\\n\\f\\r]+", "")
     text = F.regexp_replace(text, "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}", "")
-    return fields(F.regexp_replace(text, "[^0-9A-Za-z_ \\t\\n\\f\\r]", " "))
+    return fields(F.regexp_replace(text, "[^0-9A-Za-z_ \\t\\n\\f\\r]+", " "))
 
 
 def weights(words: dict[str, float]) -> Column:
@@ -144,7 +144,7 @@ def sentiment_confidence(score: Column, n: Column) -> Column:
 
 
 def letters_only(text: Column) -> Column:
-    return squeeze(F.regexp_replace(F.lower(text), "[^\\p{L} \\t\\n\\f\\r]", " "))
+    return squeeze(F.regexp_replace(F.lower(text), "[^\\p{L} \\t\\n\\f\\r]+", " "))
 
 
 def language_score(text: Column, code: str) -> Column:
@@ -156,9 +156,9 @@ def language_score(text: Column, code: str) -> Column:
     here = F.lit(0)
     for word in common:
         here = here + text.contains(word.lower()).cast("int")
-    in_class = F.length(F.regexp_replace(text, f"[^{letters}]", ""))
-    in_script = F.length(F.regexp_replace(text, f"[^{script}]", ""))
-    all_ = F.length(F.regexp_replace(text, "[^\\p{L}]", ""))
+    in_class = F.length(F.regexp_replace(text, f"[^{letters}]+", ""))
+    in_script = F.length(F.regexp_replace(text, f"[^{script}]+", ""))
+    all_ = F.length(F.regexp_replace(text, "[^\\p{L}]+", ""))
     return F.when(text == "", 0.0).otherwise(0.6 * (here / len(common)) + 0.2 * (in_class / F.octet_length(text)) + 0.2 * F.when(all_ > 0, in_script / all_).otherwise(0.0))
 
 
@@ -167,7 +167,9 @@ def language(text: Column) -> Column:
     rows = F.array(*(F.struct(F.round(language_score(text, c), 9).alias("s"), F.lit(c).alias("code"), F.lit(L.LANGUAGES[c][0]).alias("name")) for c in sorted(L.LANGUAGES)))
     best = F.aggregate(rows, F.struct(F.lit(0.0).alias("s"), F.lit("en").alias("code"), F.lit("English").alias("name")), lambda a, r: F.when(r["s"] > a["s"], r).otherwise(a))
     none = F.struct(F.lit("unknown").alias("code"), F.lit("Unknown").alias("name"), F.lit(0.0).alias("confidence"))
-    return F.when(text == "", none).otherwise(F.struct(best["code"].alias("code"), best["name"].alias("name"), F.least(F.lit(1.0), best["s"]).alias("confidence")))
+    # by way of an array the best row is evaluated once, not for each of its fields
+    found = F.get(F.transform(F.array(best), lambda b: F.struct(b["code"].alias("code"), b["name"].alias("name"), F.least(F.lit(1.0), b["s"]).alias("confidence"))), F.lit(0))
+    return F.when(text == "", none).otherwise(found)
 
 
 # --- content

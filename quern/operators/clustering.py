@@ -63,7 +63,7 @@ def silhouette(vectors: DataFrame, assignments: DataFrame, block: int = K.BLOCK)
     All pairs are compared, in blocks; each block of a side sends on one sum for each vector and cluster.
     """
     rows = vectors.toDF("id", "vector")
-    sums = K.packed(rows, "q_", block).crossJoin(K.packed(rows.join(assignments, "id").select(F.col("id"), F.concat(F.array(F.col("cluster_id").cast("double")), F.col("vector").cast("array<double>"))), "v_", block))
+    sums = K.blocks(K.packed(rows, "q_", block), K.packed(rows.join(assignments, "id").select(F.col("id"), F.concat(F.array(F.col("cluster_id").cast("double")), F.col("vector").cast("array<double>"))), "v_", block))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

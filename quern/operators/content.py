@@ -25,7 +25,7 @@ _WEIGHT = lambda w: 2.0 if len(w) > 8 else 1.5 if len(w) > 5 else 1.0  # noqa: E
 
 
 def topic_words(text: Column) -> Column:
-    words = T.fields(F.regexp_replace(F.lower(text), "[^\\p{L} \\t\\n\\f\\r]", " "))
+    words = T.fields(F.regexp_replace(F.lower(text), "[^\\p{L} \\t\\n\\f\\r]+", " "))
     return F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(L.TOPIC_STOP))
 
 

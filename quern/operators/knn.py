@@ -4,7 +4,7 @@ Tables are (id, vector).  Every query vector is a row of a table, so a search is
 in blocks, one row of ids and one matrix each; blocks of both sides are crossed and a matrix product gives
 all distances of two blocks.  Per query only its k nearest of each block go on to the shuffle.
 Spark broadcasts the packed queries where they are within spark.sql.autoBroadcastJoinThreshold and
-crosses partitions otherwise.
+crosses partitions otherwise; packed blocks are shuffled first, so that they are packed once and not for each partition they meet.
 
 Distances are doubles rounded to six decimals; ties go to the lower id.  Null vectors, and vectors of another length than the
 first of their table's block, match nothing.
@@ -84,6 +84,11 @@ def distances(q: np.ndarray, v: np.ndarray, metric: str, digits: int = 6) -> np.
     return np.round(d, digits) + 0.0
 
 
+def blocks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every packed block of left (q_) beside every one of right (v_)."""
+    return left.crossJoin(right.repartition("v_ids"))
+
+
 def _crossed(queries: DataFrame, vectors: DataFrame, metric: str, k: int | None, radius: float | None, block: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,7 +111,7 @@ def _crossed(queries: DataFrame, vectors: DataFrame, metric: str, k: int | None,
                         r, c = r[nth < k], c[nth < k]
                     yield pa.RecordBatch.from_arrays([pa.array(qid[a + r]), pa.array(vid[c]), pa.array(d[r, c])], ["query_id", "id", "dist"])
 
-    return packed(queries, "q_", block).crossJoin(packed(vectors, "v_", block)).mapInArrow(work, PAIRS)
+    return blocks(packed(queries, "q_", block), packed(vectors, "v_", block)).mapInArrow(work, PAIRS)
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:

@@ -141,7 +141,7 @@ def knn_two_stage(queries: DataFrame, vectors: DataFrame, k: int = 10, bits: int
 
     left, right = K.packed(queries, "q_", block), K.packed(vectors, "v_", block)
     right = right.mapInArrow(coded, K._PACKED.format(p="v_") + ", v_codes binary")
-    rows = left.crossJoin(right).mapInArrow(work, "query_id bigint, id bigint, rough double, dist double")
+    rows = K.blocks(left, right).mapInArrow(work, "query_id bigint, id bigint, rough double, dist double")
     by = F.row_number().over(Window.partitionBy("query_id").orderBy("rough", "id"))
     return K.nearest(rows.withColumn("nth", by).where(F.col("nth") <= most).select("query_id", "id", "dist"), k)
 
