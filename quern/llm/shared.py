@@ -72,5 +72,8 @@ def bounded(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder.  One that comes in fewer splits than there are cores is spread over all of them; a larger one isn't shuffled."""
     bounded(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
