@@ -10,20 +10,21 @@ from quern.functions import lexicons as L
 from quern.functions import text as T
 from quern.operators import content as C
 from quern.plans.search import documents
+from quern.plans.tables import table
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
 
 
 def content_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("id"), F.lit("page").alias("of"), F.col("html").alias("text"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.lit("page").alias("of"), F.col("html").alias("text"))
     both = pages.unionByName(documents(spark, sf_dir).withColumn("of", F.lit("document")))
     return both.select("of", "id", T.content_type(F.col("text")).alias("type"), T.processing_ms(F.col("text")).alias("ms"))
 
 
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.strip_html(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
 def markdown_strip(spark: SparkSession, sf_dir: str) -> DataFrame:

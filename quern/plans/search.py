@@ -10,11 +10,12 @@ from quern.functions import text as T
 from quern.functions.embedding import hashed
 from quern.operators import fusion, knn
 from quern.operators import text_search as S
+from quern.plans.tables import table
 from quern.plans.vectors import vectors
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The terms of every turn of conversations, and of the words that have synonyms, with these, in order of the alphabet."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     keys = spark.createDataFrame([(-i - 1, f"{k} and others") for i, k in enumerate(L.SEARCH_SYNONYMS)], "id bigint, text string")
     return turns.unionByName(keys).select("id", F.array_join(F.array_sort(S.expanded(T.terms(F.col("text")))), ",").alias("expanded"))
 
@@ -106,7 +107,7 @@ def fuse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, created (an hour for each id before 2024-02-01), source (src0 is official, src1 verified)."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = table(spark, sf_dir, "documents")
     source = F.when(F.col("source") == "src0", "official").when(F.col("source") == "src1", "Verified").otherwise(F.col("source"))
     created = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - 3600 * F.col("doc_id"))
     return d.select(F.col("doc_id").alias("id"), created.alias("created"), source.alias("source"))

@@ -11,6 +11,7 @@ from quern.operators import planner as L
 from quern.operators import text_search as S
 from quern.plans.feedback import _X, _ctr, interactions
 from quern.plans.search import _HITS, _INDEX, asked, documents
+from quern.plans.tables import table
 from quern.plans.vectors import label_centroids, vectors
 
 AS_OF = "2024-01-15 00:00:00"
@@ -58,13 +59,13 @@ def search_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.concat("lang", F.lit(", "), "source", F.lit(",,"), "lang").alias("topics"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat("lang", F.lit(", "), "source", F.lit(",,"), "lang").alias("topics"))
 
 
 def query_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each benchmark text, asked by a user of its own, adds by the topics of its best documents."""
     found = S.bm25(documents(spark, sf_dir), asked(spark, sf_dir))
-    topics = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("topics"))
+    topics = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("topics"))
     return P.query_interests(found.join(topics, "id").select((F.col("query_id") % 10).alias("user_id"), F.col("query_id").alias("list_id"), "rank", "topics"))
 
 
@@ -75,8 +76,8 @@ def interaction_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def personalized_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark texts against documents that have a vector, for users whose interests their searches made."""
     found = S.bm25(documents(spark, sf_dir), asked(spark, sf_dir), 20)
-    info = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("topics"))
-    store = P.in_store(info, spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id")))
+    info = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("lang", "source").alias("topics"))
+    store = P.in_store(info, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
     interest = query_interests(spark, sf_dir).groupBy("user_id", "topic").agg(F.round(F.sum("value"), 6).alias("score"))
     requests = asked(spark, sf_dir).select("query_id", (F.col("query_id") % 10).alias("user_id"))
     return P.personalized(found, requests, store, interest)
@@ -139,7 +140,7 @@ def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = table(spark, sf_dir, "embeddings")
     return v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("source"), ((F.col("label") + 1) % 10).cast("bigint").alias("target"))
 
 
@@ -148,7 +149,7 @@ def rebalance_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_moved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("cluster_id"))
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("cluster_id"))
     return L.moved(own, _moves(spark, sf_dir))
 
 
@@ -158,7 +159,7 @@ def search_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    v = table(spark, sf_dir, "embeddings")
     label = F.col("label").cast("string")
     filters = F.when(F.col("label") % 2 == 0, F.create_map(F.lit("label"), label, F.lit("kind"), F.lit("x")))
     key = lambda n: L.cache_key(F.lit("all"), F.col("embedding"), F.lit(10), F.lit("cosine"), filters, F.when(F.col("label") > 4, label), F.col("label") == 3, n)
@@ -168,7 +169,7 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector asked of all, by labels as clusters whose radius is 0.9."""
     v = vectors(spark, sf_dir)
-    past = v.join(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("cluster_id")), "id")
+    past = v.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("cluster_id")), "id")
     clusters = label_centroids(spark, sf_dir).select("cluster_id", "centroid", F.lit(0.9).alias("radius"))
     return L.semantic_lookup(v.where("id % 50 = 0"), past.select("id", "vector", "cluster_id"), clusters, 0.2)
 

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from quern.functions import distance as D
 from quern.operators import clustering, knn, quantization, vector_dedup
+from quern.plans.tables import table
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, cluster_id: the labels as a clustering."""
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("cluster_id"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("cluster_id"))
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +25,7 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors, and those of odd label once more under ids below zero, which no vector has."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table(spark, sf_dir, "embeddings")
     again = rows.where("label % 2 = 1").select((-F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("vector"))
     return vectors(spark, sf_dir).unionByName(again)
 
@@ -39,7 +40,7 @@ def _knn(metric: str):
 
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of label 3, by metadata, for every vector."""
-    meta = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    meta = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
     return knn.knn(vectors(spark, sf_dir), meta.where(knn.matches("metadata", {"label": 3})).select("vec_id", "embedding"), 10, "cosine")
 
 
@@ -90,7 +91,7 @@ def vec_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors, and some of them spoilt by label, with what is wrong."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    rows = table(spark, sf_dir, "embeddings")
     bad = F.when(F.col("label") == 1, F.slice("embedding", 1, 10)).when(F.col("label") == 2, F.array_append("embedding", F.lit(float("nan")).cast("float"))).when(F.col("label") == 3, F.array().cast("array<float>")).otherwise(F.col("embedding"))
     return rows.select(F.col("vec_id").alias("id"), D.problem(F.when(F.col("label") == 4, F.lit("")).otherwise(F.col("vec_id").cast("string")), bad, 64).alias("problem"))
 
