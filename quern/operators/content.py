@@ -63,7 +63,7 @@ ENTITIES: dict[str, tuple[list[str], int, int, int, object]] = {
     "EMAIL": ([r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"], 3, 5, 100, lambda t: True),
     "LOC": ([rf"\b{_NAME}(?:\s{_NAME})*,\s*[A-Z]{{2}}\b", r"\b(?:Beijing|Chicago|London|Los Angeles|Mumbai|New York|Paris|São Paulo|Tokyo|United Kingdom|United States)\b", rf"\b(?:Bay|Desert|Lake|Mount|Mountain|Mt\.?|Ocean|River|Sea)\s+{_NAME}\b"], 2, 2, 50, lambda t: t[0].isupper()),
     "MONEY": ([r"\$\d{1,3}(?:,\d{3})*(?:\.\d{2})?\b", r"\b\d+(?:\.\d{2})?\s*(?:dollars?|euros?|pounds?|yen|EUR|GBP|JPY|USD)\b"], 2, 2, 20, lambda t: True),
-    "ORG": ([r"\b[A-Z][A-Za-z\s&]{1,100}(?:Company|Corporation|Corp\.?|Co\.?|Inc\.?|LLC|Ltd\.?)\b", rf"\b(?:University of {_NAME}|{_NAME} University)\b", r"\b[A-Z][A-Za-z\s]{1,100} (?:Association|Foundation|Institute|Organization|Society)\b"], 2, 3, 100, lambda t: True),
+    "ORG": ([r"\b[A-Z][A-Za-z\s&]+(?:Company|Corporation|Corp\.?|Co\.?|Inc\.?|LLC|Ltd\.?)\b", rf"\b(?:University of {_NAME}|{_NAME} University)\b", r"\b[A-Z][A-Za-z\s]+ (?:Association|Foundation|Institute|Organization|Society)\b"], 2, 3, 100, lambda t: True),
     "PERSON": ([rf"\b{_NAME} {_NAME}(?:\s{_NAME})?\b", rf"\b(?:Dr|Mr|Mrs|Ms|Prof)\.?\s+{_NAME}(?: {_NAME})?\b"], 3, 2, 50, lambda t: all(w[0].isupper() for w in t.split())),
     "PHONE": ([r"\b\(?(\d{3})\)?[-.\s]?(\d{3})[-.\s]?(\d{4})\b", r"\+\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}\b"], 2, 10, 20, lambda t: sum(c.isdigit() for c in t) >= 10),
     "URL": ([r"https?://[^\s<>\"{}|\\^`\[\]]+", r"www\.[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}(?:/[^\s]*)?"], 3, 7, 200, lambda t: "." in t),
@@ -71,15 +71,32 @@ ENTITIES: dict[str, tuple[list[str], int, int, int, object]] = {
 _COMPILED = {k: [re.compile(p, re.ASCII) for p in v[0]] for k, v in ENTITIES.items()}
 
 
+_RUN = re.compile(r"[A-Za-z\s&]+", re.ASCII)
+_ENDS = {p: re.compile(re.search(r"\(\?:[^()]*\)\\b$", p.pattern).group(), re.ASCII) for p in _COMPILED["ORG"] if "\\s" in p.pattern}
+
+
+def _found(p: re.Pattern, text: str) -> Iterator[re.Match]:
+    """p.finditer(text); names that end with a certain word are looked for only in runs of letters that have such an end, up to the last one, as each capital of a run would be tried against all of it otherwise."""
+    if p not in _ENDS:
+        yield from p.finditer(text)
+        return
+    for run in _RUN.finditer(text):
+        at = run.start()
+        last = max((m.start() for m in _ENDS[p].finditer(text, at, run.end() + 2)), default=-1)
+        while at < last and (m := p.search(text, at, run.end() + 2)):
+            yield m
+            at = m.end()
+
+
 def entities_of(text: str) -> list[tuple[str, str, float, int, int]]:
     """text, label, confidence, start, end (in UTF-8 bytes) of each entity, one for equal texts and labels, in order of place and label.
 
-    The expression of an organisation is bounded to the hundred characters it may have, as it would be quadratic otherwise.
+    A find that is too long is none, and the search goes on after it.
     """
     found, seen = [], set()
     for label, (_, priority, least, most, good) in ENTITIES.items():
         for p in _COMPILED[label]:
-            for m in p.finditer(text):
+            for m in _found(p, text):
                 t = m.group().strip()
                 size = len(t.encode())
                 if not least <= size <= most or not good(t) or (key := (t.lower(), label)) in seen:

@@ -105,3 +105,19 @@ def test_fuzzy_terms_over_all_terms_equal_brute_force(spark, tmp_path):
     rows = [tuple(r) for r in registry.QUERIES["fuzzy_terms"](spark, str(tmp_path)).select("wanted", "term", "distance", "score").collect()]
     assert set(rows) == want and len(rows) == len(want)
     assert any(not a.isascii() and d == 2 for a, _, d, _ in want) and any(d == 1 and not b.isascii() for _, b, d, _ in want)
+
+
+def test_organisations_equal_the_plain_expression_in_linear_time():
+    import random
+    import time
+
+    random.seed(3)
+    parts = ["Acme", "Big", "of", "Inc", "Inc.", "Company", "Co.", "Corporation", "Corp", "&", "the", "Institute", "Society", "Incorporated", "x1", "9", "Ltd", ",", ".", "\n", "A", "University", "Foundation"]
+    for _ in range(3000):
+        text = "".join(random.choice(parts) + random.choice([" ", " ", "", "\n"]) for _ in range(random.randrange(1, 14)))
+        for p in C._COMPILED["ORG"]:
+            assert [m.span() for m in C._found(p, text)] == [m.span() for m in p.finditer(text)], (text, p.pattern)
+    began = time.time()
+    for text in ("Aa Bb " * 50_000, "Incorporated " * 30_000, "A " * 100_000 + "Inc"):
+        list(C._found(C._COMPILED["ORG"][0], text))
+    assert time.time() - began < 5
