@@ -99,23 +99,23 @@ def elbow(inertias: DataFrame) -> DataFrame:
 def balanced(vectors: DataFrame, centroids: DataFrame, slack: float = 0.5) -> DataFrame:
     """id, cluster_id: each vector, in order of id, to its nearest centroid with room; a cluster holds (1 + slack) of an equal share.
 
-    Greedy in one order, so one task assigns: it gets each vector's centroids by distance, not the vectors.
+    Greedy in one order, so one task assigns; sorted rows stream through it with each vector's centroids by distance, and it holds one number for each cluster.
     """
     near = K.knn(vectors, centroids.select("cluster_id", "centroid"), 1 << 20, "l2").groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("order"))
+    shape = near.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("order")), F.lit(1)).alias("k")).first()
+    room = max(1, int(shape["n"] / shape["k"] * (1 + slack) + 0.999999))
 
-    def work(part: pa.Table) -> pa.Table:
-        part = part.sort_by("query_id")
-        orders = part["order"].to_pylist()
-        room = max(1, int(len(orders) / max(1, max(map(len, orders))) * (1 + slack) + 0.999999))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used: dict[int, int] = {}
-        out = []
-        for order in orders:
-            c = next((c for c in order if used.get(c, 0) < room), order[0])
-            used[c] = used.get(c, 0) + 1
-            out.append(c)
-        return pa.table({"id": part["query_id"], "cluster_id": pa.array(out, pa.int64())})
-
-    return near.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: work(t.drop(["all"])), "id bigint, cluster_id bigint")
+        for batch in batches:
+            out = []
+            for order in batch.column(1).to_pylist():
+                c = next((c for c in order if used.get(c, 0) < room), order[0])
+                used[c] = used.get(c, 0) + 1
+                out.append(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["id", "cluster_id"])
+
+    return near.repartition(1).sortWithinPartitions("query_id").mapInArrow(work, "id bigint, cluster_id bigint")
 
 
 def rebalance(sizes: DataFrame, threshold: float = 0.3, most_moves: int = 1000) -> DataFrame:

@@ -329,3 +329,7 @@ ORACLE_SQL |= {
         cd AS (SELECT a.id AS query_id, b.id FROM v a, dc b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) <= 40), xt AS (SELECT query_id, cd.id, round(list_distance(a.v, b.v), 6) + 0.0 AS dist FROM cd JOIN v a ON a.id = query_id JOIN v b ON b.id = cd.id)
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS rank, id, dist FROM xt QUALIFY rank <= 10""",
 }
+ORACLE_SQL["cluster_balanced"] = f"""WITH RECURSIVE {_V}, {_C}, p AS ({_PAIRS.format(d=_L2, b='c')}), o AS (SELECT query_id AS id, list(id ORDER BY dist, id) AS o, row_number() OVER (ORDER BY query_id) AS i FROM p GROUP BY query_id), n AS (SELECT greatest(1, floor(count(*) / max(len(o)) * 1.5::DOUBLE + 0.999999::DOUBLE)) AS room, max(len(o)) AS k FROM o),
+    r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, NULL::BIGINT AS cluster_id, list_transform(range(0, k), lambda x: 0::BIGINT) AS used, room FROM n
+    UNION ALL SELECT i, id, c, list_transform(range(0, len(used)), lambda x: used[x + 1] + (x = c)::INT), room FROM (SELECT o.i, o.id, used, room, coalesce(list_filter(o.o, lambda x: used[x + 1] < room)[1], o.o[1]) AS c FROM r JOIN o ON o.i = r.i + 1))
+    SELECT id, cluster_id FROM r WHERE i > 0"""
