@@ -31,14 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.textvec import LETTER, NUMBER, OTHER, SPACE, Slice, classes, slices, span_hashes, spread
+from quern.llm.textvec import LETTER, NUMBER, OTHER, SPACE, Slice, classes, hold, slices, span_hashes, spread
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SCHEMA = "doc_id bigint, ids array<int>, n_tokens bigint, round_trip boolean"
-_CACHE_BITS = 20  # of the tables of words and of arcs that are known
-_CACHE_IDS = 8_000_000
-_SLICE = 1 << 19
+_WORD_BITS, _ARC_BITS = 19, 18  # of the tables of words and of arcs that are known
+_CACHE_IDS = 3_000_000
+_SLICE = 1 << 18
 _LONG = 512  # bytes of a word from which on it is run by itself
 _BLOCK = 1 << 15
 
@@ -146,11 +146,11 @@ class Automaton:
             todo = todo[~hit & (have >= 0)]
         return out
 
-    def reset_arcs(self, bits: int = _CACHE_BITS) -> None:
+    def reset_arcs(self, bits: int = _ARC_BITS) -> None:
         """An empty transition table: each pair of labels has one place, which the latest pair takes."""
         self.arc_keys, self.arc_ok, self.arc_shift = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, bool), np.uint64(64 - bits)
 
-    def reset_words(self, bits: int = _CACHE_BITS) -> None:
+    def reset_words(self, bits: int = _WORD_BITS) -> None:
         """No words are known; as for arcs, each has one place.  Hash 0 stands for none."""
         self.word_keys, self.word_at, self.word_n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
         self.word_shift, self.word_ids, self.n_ids = np.uint64(64 - bits), np.zeros(1 << 16, np.int32), 0
@@ -438,6 +438,7 @@ def compiled(path: str) -> tuple[str, Automaton]:
 
 def automaton(key: str, sent) -> Automaton:
     """The automaton of this process for a vocabulary, from the broadcast one; it and its table serve all tasks of a worker."""
+    hold("bpe", _automata.clear)
     if key not in _automata:
         if len(_automata) > 1:
             _automata.pop(next(iter(_automata)))

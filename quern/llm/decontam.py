@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.shared import stored
-from quern.llm.textvec import Slice, slices, spread
+from quern.llm.textvec import Slice, hold, slices, spread
 
 PHRASE = 13
 LEAST = 8
@@ -71,10 +71,11 @@ def segment(docs: pa.Array, part: Slice) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([one(docs, pa.int64()), one(starts, pa.int64()), one(n, pa.int64()), *(pa.array([x], pa.binary()) for x in (terms.tobytes(), counts.tobytes(), dfs.tobytes(), packed))], ["doc_ids", "doc_starts", "n_words", "terms", "counts", "dfs", "positions"])
 
 
-def build_index(docs: DataFrame, segment_bytes: int = 1 << 20) -> DataFrame:
+def build_index(docs: DataFrame, segment_bytes: int = 1 << 19) -> DataFrame:
     """The positional index of docs(doc_id, text) as a stored table of segments of about segment_bytes of text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontam")
         for batch in batches:
             for a, b in slices(batch.column(1), segment_bytes):
                 yield segment(batch.column(0).slice(a, b - a), Slice(batch.column(1).slice(a, b - a)))

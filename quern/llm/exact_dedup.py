@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.shared import stored
-from quern.llm.textvec import slices
+from quern.llm.textvec import hold, slices
 
 PRIMES = (2147483647, 2147483629, 2147483587)
 BASES = (1103515245, 1664525 + (1 << 29), 22695477 + (1 << 30))
@@ -111,6 +111,7 @@ def fingerprinted(docs: DataFrame, carry: str | None = None, huge: int = HUGE) -
     extra = f", {carry} {docs.schema[carry].dataType.simpleString()}" if carry else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("exact_dedup")
         base, n = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary())

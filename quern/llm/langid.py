@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.textvec import LETTER, Slice, classes, lower_table, slices
+from quern.llm.textvec import LETTER, Slice, classes, hold, lower_table, slices
 
 DIMENSION = 1 << 14
 ORDERS = (1, 2, 3, 4)
@@ -102,7 +102,7 @@ def pieces(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(np.repeat(at[:-1], count) + np.repeat(size, count) * nth // np.repeat(count, count), at[-1]), first
 
 
-def _batches(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _batches(texts: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of bounded text and matrix."""
     for a, b in slices(texts, size):
         for c in range(a, b, 256):
@@ -193,6 +193,7 @@ def identify(docs: DataFrame, model: Model | None = None, threshold: float = 0.0
     extra = f", {carry} {docs.schema[carry].dataType.simpleString()}" if carry else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("langid")
         model = sent.value
         for batch in batches:
             for a, b in slices(batch.column(1)):

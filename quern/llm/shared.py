@@ -64,7 +64,7 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+def bounded(spark: SparkSession, rows: int = 250, size: str = "2m") -> None:
     """Bound the batches that go to Python, which by default have 10,000 texts of any length: several are held at once by each side."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.components import components
 from quern.llm.shared import stored
-from quern.llm.textvec import Slice, mix, slices, spread
+from quern.llm.textvec import Slice, hold, mix, slices, spread
 
 BITS = 256
 RADIUS = 48
@@ -94,6 +94,7 @@ def with_simhashes(docs: DataFrame, carry: str | None = None) -> DataFrame:
     extra = f", {carry} {docs.schema[carry].dataType.simpleString()}" if carry else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash")
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 fp, has = simhashes(Slice(batch.column(1).slice(a, b - a)))
@@ -223,6 +224,7 @@ def _bucket_edges(rows: DataFrame, radius: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(node[rows[low]]), pa.array(node[rows[label[low]]])], ["a", "b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("simhash")
         held: list[np.ndarray] = []  # key, part, node and fingerprint in rows of seven
         n = 0
         for batch in batches:
@@ -287,8 +289,8 @@ def _keys(nodes: DataFrame, tables: int, bits: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = (np.uint64(1) << np.arange(bits, dtype=np.uint64)).astype(np.uint64)
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
+            for a in range(0, batch.num_rows, 500):  # each makes `tables` rows
+                part = batch.slice(a, 500)
                 fp = np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns[1:]], axis=1)
                 set_ = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
                 keys = np.stack([mix(set_[:, c].astype(np.uint64) @ weights + np.uint64((t + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) for t, c in enumerate(chosen)])

@@ -10,17 +10,17 @@ from __future__ import annotations
 import ctypes
 import platform
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 _libc = ctypes.CDLL("libc.so.6") if platform.libc_ver()[0] == "glibc" else None
 if _libc:
-    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: arrays from 4 MB on go back to the system as they are freed
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays from 1 MB on go back to the system as they are freed
     pa.set_memory_pool(pa.system_memory_pool())
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
@@ -102,6 +102,20 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, drop: Callable[[], None] | None = None) -> None:
+    """What an operator begins with in a worker: what others left there for their next task is dropped, and drop will drop its own."""
+    others = [k for k in _held if k != name]
+    for k in others:
+        _held.pop(k)()
+    if others:
+        release()
+    if drop:
+        _held[name] = drop
+
+
 class Slice:
     """Code points of a range of texts; null counts as empty.
 
