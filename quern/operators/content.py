@@ -220,6 +220,11 @@ INTENTS = {
 MODIFIERS = {"best": "best|optimal|recommended|top", "compare": "compare|difference|versus|vs", "example": "demo|example|illustration|sample", "latest": "current|latest|newest|recent", "tutorial": "guide|how to|learn|tutorial"}
 
 
+def _re2(pattern: str) -> str:
+    """A pattern as RE2 reads it: the edges of a word are those of ASCII letters, \\s has no vertical tab, and $ is the very end."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))").replace(r"\s", r"[\t\n\f\r ]").replace("$", r"\z")
+
+
 def normalized_query(q: Column) -> Column:
     out = T.squeeze(F.lower(q))
     for short, long in _CONTRACTIONS.items():
@@ -233,7 +238,7 @@ def understood(queries: DataFrame) -> DataFrame:
     Intents score by their expressions; of equal scores the first of INTENTS counts, of several domains the first by name.
     """
     q, low = F.col("text"), F.lower("text")
-    scores = [(name, F.round(w * (low.rlike(a).cast("int") + low.rlike(b).cast("int")), 6)) for name, (w, a, b) in INTENTS.items()]
+    scores = [(name, F.round(w * (low.rlike(_re2(a)).cast("int") + low.rlike(_re2(b)).cast("int")), 6)) for name, (w, a, b) in INTENTS.items()]
     best = F.greatest(*(s for _, s in scores))
     intent = F.lit("lookup")
     for name, s in reversed(scores):
@@ -241,10 +246,10 @@ def understood(queries: DataFrame) -> DataFrame:
     domain = F.lit("general")
     for name in sorted(L.QUERY_DOMAINS, reverse=True):
         domain = F.when(_any(low, L.QUERY_DOMAINS[name]), name).otherwise(domain)
-    modifiers = F.filter(F.array(*(F.when(low.rlike(rf"\b({p})\b"), F.lit(m)) for m, p in sorted(MODIFIERS.items()))), lambda x: x.isNotNull())
+    modifiers = F.filter(F.array(*(F.when(low.rlike(_re2(rf"\b({p})\b")), F.lit(m)) for m, p in sorted(MODIFIERS.items()))), lambda x: x.isNotNull())
     count = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
     one = lambda x: F.round(F.least(F.lit(1.0), x), 6)
-    specific = 0.05 * F.size(T.fields(q)) + F.when(low.rlike(r"\b(algorithm|api|class|function|interface|method)\b"), 0.3).otherwise(0.0)
+    specific = 0.05 * F.size(T.fields(q)) + F.when(low.rlike(_re2(r"\b(algorithm|api|class|function|interface|method)\b")), 0.3).otherwise(0.0)
     logic = F.when(q.contains(" AND ") | q.contains(" OR ") | q.contains(" NOT "), 0.3).otherwise(0.0) + F.when(q.contains(",") | q.contains(";"), 0.2).otherwise(0.0) + 0.2 * count(["why", "how", "what if", "explain"])
     return queries.toDF("query_id", "text").select("query_id", normalized_query(q).alias("normalized"), intent.alias("intent"), one(F.when(best > 0, best).otherwise(0.5)).alias("confidence"), domain.alias("domain"), F.array_join(modifiers, ",").alias("modifiers"), one(0.2 * count(["urgent", "asap", "immediately", "now", "quickly", "fast"])).alias("urgency"), one(specific).alias("specificity"), one(logic).alias("complexity"))
 

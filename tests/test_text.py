@@ -64,6 +64,12 @@ def test_content(spark):
     assert (q[1]["intent"], q[1]["domain"]) == ("question", "tech") and q[2]["intent"] == "transactional" and (q[3]["intent"], q[3]["confidence"]) == ("lookup", 0.5)
 
 
+def test_words_of_queries_end_where_ascii_letters_do(spark):
+    texts = ["das ist bestö und üapi", "delete\x0brecord of mine", "see this ?\n", "the best api, compare"]
+    got = [tuple(r) for r in C.understood(spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")).orderBy("query_id").select("intent", "modifiers", "specificity").collect()]
+    assert got == [("lookup", "best", 0.55), ("lookup", "", 0.15), ("lookup", "", 0.15), ("lookup", "best,compare", 0.5)]
+
+
 def test_fusion(spark):
     lists = {"vector": [(1, 0.9), (2, 0.8), (3, 0.7), (4, 0.6)], "text": [(2, 12.5), (3, 10.0), (5, 8.5), (1, 5.0)]}
     hits = spark.createDataFrame([(0, name, i + 1, d, s) for name, l in lists.items() for i, (d, s) in enumerate(l)], "query_id long, list string, rank int, id long, score double")
