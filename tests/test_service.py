@@ -173,3 +173,17 @@ def test_registry_choice_and_key(spark):
     assert planner.registry(models.limit(0)).collect() == []
     x = events(spark, [])
     assert planner.access_analysis(x.select(F.col("user_id").alias("partition_id"), "ts"), "2024-02-01 00:00:00").first()["partitions"] == 0
+
+
+def test_reranking_meets_each_list_of_topics_once(spark):
+    import time
+
+    n = 20_000
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    topics = F.array((F.col("id") % 3).cast("string"), (F.col("id") % 5).cast("string"))
+    rows = spark.range(n).select(F.lit(0).alias("list_id"), F.col("id").alias("position"), "id", F.lit(1.0).alias("score"), F.lit(0.0).alias("vector_score"), F.lit(0.0).alias("text_score"), F.lit(0).alias("views"), F.lit(0.0).alias("rating"), at.alias("created"), F.lit("blog").alias("source"), topics.alias("topics"))
+    began = time.time()
+    got = {r["id"]: r["score"] for r in B.rerank(rows, "2024-01-01 00:00:00").collect()}
+    assert time.time() - began < 60  # each result against all before it takes minutes
+    alone = got[0]
+    assert len(got) == n and got[1] == pytest.approx(alone) and got[3] == pytest.approx(alone * (1 - 0.3 / 3), abs=1e-5) and got[n - 1] == pytest.approx(alone * 0.7, abs=1e-5)
