@@ -158,12 +158,12 @@ def semantic_lookup(queries: DataFrame, past: DataFrame, clusters: DataFrame, th
 
     clusters are (cluster_id, centroid, radius); one contains a query within its radius, by cosine distance.  Only members of these are compared.
     """
-    q = queries.toDF("query_id", "q")
     inside = K.range_search(queries, clusters.select("cluster_id", "centroid"), 2.0, "cosine").select("query_id", F.col("id").alias("cluster_id"), "dist")
-    inside = inside.join(clusters.select("cluster_id", "radius"), "cluster_id").where("dist <= radius").select("query_id", "cluster_id")
-    pairs = inside.join(past, "cluster_id").join(q, "query_id")
-    near = D.round6(D.cosine_similarity(F.col("q"), F.col("vector")))
-    return pairs.select("query_id", "id", "cluster_id", near.alias("confidence")).where(F.col("confidence") >= threshold)
+    inside = inside.join(clusters.select("cluster_id", "radius"), "cluster_id").where("dist <= radius").select(F.col("query_id").alias("id"), "cluster_id")
+    asked = inside.join(queries.toDF("id", "vector"), "id").select("id", "vector", "cluster_id")
+    pairs = K.keyed_blocks(K.packed(asked, "q_", key="cluster_id"), K.packed(past.select("id", "vector", "cluster_id"), "v_", key="cluster_id"), "cluster_id")
+    found = K.searched(pairs, "cosine", radius=round(1 - threshold, 6), key="cluster_id")
+    return found.select("query_id", "id", "cluster_id", D.round6(1 - F.col("dist")).alias("confidence"))
 
 
 def partitions(accesses: DataFrame, as_of: str) -> DataFrame:
