@@ -98,3 +98,39 @@ def test_near_signatures_share_a_band(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, vector array<float>")
     assert knn.knn(none, none, 3).collect() == [] and vector_dedup.exact_groups(none).collect() == [] and quantization.ranges(none).collect() == []
+
+
+def test_blocks_of_a_key_meet_only_each_other(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((90, 4))
+    rows = [(i, v.tolist(), i % 3 if i else None) for i, v in enumerate(x)] + [(200, [1.0], 1), (201, None, 1)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, key long").repartition(3)
+    left, right = (knn.packed(df, p, 8, "key") for p in ("q_", "v_"))
+    got = {(r["query_id"], r["id"]): r["key"] for r in knn.searched(knn.keyed_blocks(left, right, "key"), "l2", radius=100.0, key="key").collect()}
+    want = {(a, b): i for a, v, i in rows for b, w, j in rows if i is not None and i == j and v and w and len(v) == len(w)}
+    assert got == want
+
+
+def test_pq_pairs_equal_those_of_expressions(spark):
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).where("id < 60")
+    rng = np.random.default_rng(2)
+    book = spark.createDataFrame([(m, k, c.tolist()) for m in range(8) for k, c in enumerate(rng.standard_normal((5, 8)) / 8)], "m int, k int, centroid array<double>")
+    codes = quantization.pq_codes(v, book, 8).crossJoin(quantization.book_of(book))
+    q = v.where("id < 4").join(codes.select("id", F.col("code").alias("own")), "id").withColumnRenamed("id", "query_id")
+    rows = q.crossJoin(codes).select("query_id", "id", D.round6(quantization.asymmetric(F.col("vector"), F.col("code"), F.col("book"), 8)).alias("a"), D.round6(quantization.symmetric(F.col("own"), F.col("code"), F.col("book"))).alias("s"))
+    got = {(r[0], r[1]): (r[2], r[3]) for r in quantization.pq_pairs(v.where("id < 4"), v, book, 8, block=16).collect()}
+    assert got == {(r[0], r[1]): (r[2], r[3]) for r in rows.collect()} and len(got) == 240
+
+
+@pytest.mark.parametrize("name", ["knn_l2", "knn_filtered", "recall_at_k", "fuse_rrf", "fuse_combsum", "semantic_cache"])
+def test_searches_of_each_fiftieth_row_equal_their_sql(spark, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    df = entry.queries()[name](spark, folder)
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want) and want and all(r[0] % 50 == 0 for r in want)
