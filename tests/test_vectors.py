@@ -134,3 +134,23 @@ def test_searches_of_each_fiftieth_row_equal_their_sql(spark, name):
     df = entry.queries()[name](spark, folder)
     want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(want) and want and all(r[0] % 50 == 0 for r in want)
+
+
+def test_near_pairs_are_of_classes_and_lose_no_link(spark):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.standard_normal((20, 6)), 3, axis=0)
+    x[1::3] += 0.05 * rng.standard_normal((20, 6))
+    x = np.vstack([x, np.zeros((2, 6))])
+    ids = (rng.permutation(62) - 20).tolist()  # every third vector is the first's copy
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] + [(900, None)], "id long, vector array<double>").repartition(3)
+    d = knn.distances(x, x, "cosine")
+    near = {(min(ids[i], ids[j]), max(ids[i], ids[j])): d[i, j] for i in range(62) for j in range(62) if i != j and d[i, j] <= 0.05}
+    head = {ids[i]: min(ids[j] for j in range(62) if (x[i] == x[j]).all() and (i == j or x[i].any())) for i in range(62)}
+    got = {(r["a"], r["b"]): r["similarity"] for r in vector_dedup.near_pairs(df).collect()}
+    want = {(a, b): round(1 - s, 6) for (a, b), s in near.items() if head[a] == a and head[b] == b} | {(h, i): 1.0 for i, h in head.items() if h != i}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    low = {i: min([i, *(a for a, b in near if b == i)]) for i in ids}
+    assert {r["id"]: r["representative"] for r in vector_dedup.representatives(df).collect()} == low | {900: 900}
+    assert vector_dedup.near_pairs(df.limit(0)).count() == 0
+    grouped = vector_dedup.classes(df)
+    assert {(r["a"], r["b"]) for r in vector_dedup.class_pairs(grouped, block=7).collect()} == {k for k in want if head[k[1]] == k[1]}
