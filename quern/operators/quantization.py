@@ -215,32 +215,36 @@ def pq_pairs(queries: DataFrame, vectors: DataFrame, codebook: DataFrame, parts:
     """
     book = [[list(map(float, c)) for c in cs] for cs in (book_of(codebook).first() or [None])["book"] or []]
     most = max(map(len, book), default=0)
-    codes = pq_codes(vectors, codebook, parts).select("id", "code")
-    asked = queries.toDF("id", "vector").join(pq_codes(queries, codebook, parts), "id").select("id", F.concat(D.as_double(F.col("vector")), F.col("code").cast("array<double>")))
+
+    def coded(x: np.ndarray, width: int) -> np.ndarray:
+        """The same codes as those of `pq_codes`."""
+        each = [np.round(((x[:, None, m * width : (m + 1) * width] - np.array(cs)) ** 2).sum(axis=2), 6).argmin(axis=1) for m, cs in enumerate(book)]
+        return np.stack(each, axis=1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.arange(parts) * most
         for batch in batches:
             for i in range(batch.num_rows):
                 qid, q = K._matrix(batch, i, "q_")
-                vid, code = K._matrix(batch, i, "v_")
-                width = (q.shape[1] - parts) // parts
-                if not book or code.shape[1] != parts or width != len(book[0][0]):
+                vid, v = K._matrix(batch, i, "v_")
+                width = q.shape[1] // parts
+                if not book or v.shape[1] != q.shape[1] or width != len(book[0][0]):
                     continue
-                own, near, far = q[:, -parts:].astype(np.int64), np.zeros((len(q), parts * most)), np.zeros((len(q), parts * most))
+                own, code = coded(q, width), coded(v, width)
+                near, far = np.zeros((len(q), parts * most)), np.zeros((len(q), parts * most))
                 for m, cs in enumerate(book):
                     c = np.array(cs)
                     near[:, m * most : m * most + len(c)] = ((q[:, None, m * width : (m + 1) * width] - c) ** 2).sum(axis=2)
                     far[:, m * most : m * most + len(c)] = ((c[own[:, m]][:, None] - c) ** 2).sum(axis=2)
                 ones = np.zeros((parts * most, len(code)))
-                ones[at + code.astype(np.int64), np.arange(len(code))[:, None]] = 1
+                ones[at + code, np.arange(len(code))[:, None]] = 1
                 step = max(1, (1 << 18) // max(1, len(code)))
                 for a in range(0, len(q), step):
                     found = [np.round(t[a : a + step] @ ones, 6).ravel() + 0.0 for t in (near, far)]
                     rows = len(found[0]) // len(code)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[a : a + rows], len(code))), pa.array(np.tile(vid, rows)), *map(pa.array, found)], ["query_id", "id", "asymmetric", "symmetric"])
 
-    pairs = K.blocks(K.packed(asked, "q_", block), K.packed(codes, "v_", block))
+    pairs = K.blocks(K.packed(queries, "q_", block), K.packed(vectors, "v_", block))
     return pairs.mapInArrow(work, "query_id bigint, id bigint, asymmetric double, symmetric double")
 
 
