@@ -29,11 +29,19 @@ def topic_words(text: Column) -> Column:
     return F.filter(words, lambda w: (F.octet_length(w) >= 3) & ~w.isin(L.TOPIC_STOP))
 
 
+def _once(value: Column, f) -> Column:
+    """f(value), where value is worked out once however often f has it; Spark writes a column's expression out wherever it is used."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _topic(label: str, hits: Column, n: Column) -> Column:
     """Struct of s (the negative score), label and keywords, from the keywords among a text's n words."""
+    return _once(F.filter(hits, lambda x: x.isin(L.TOPICS[label])), lambda own: _scored(label, own, n))
+
+
+def _scored(label: str, own: Column, n: Column) -> Column:
     words = L.TOPICS[label]
     weights = T.weights({w: _WEIGHT(w) for w in words})
-    own = F.filter(hits, lambda x: x.isin(words))
     total = F.aggregate(F.transform(own, lambda x: F.try_element_at(weights, x)), F.lit(0.0), lambda a, x: a + x)
     distinct = F.array_distinct(own)
     score = F.when(F.size(own) > 0, total / n * (1 + F.size(distinct) / len(words))).otherwise(0.0)
@@ -47,10 +55,11 @@ def topics(docs: DataFrame, least: float = 0.1, most: int = 5) -> DataFrame:
     Score: the keywords' frequencies by weight (2 over eight letters, 1.5 over five) over all words, times 1 + the share of keywords that occur.
     """
     known = sorted({w for ws in L.TOPICS.values() for w in ws})
-    rows = docs.toDF("id", "text").select("id", F.coalesce(topic_words(F.col("text")), F.array().cast("array<string>")).alias("w")).select("id", F.size("w").alias("n"), F.filter("w", lambda x: x.isin(known)).alias("hits"))
-    found = [_topic(label, F.col("hits"), F.col("n")) for label in sorted(L.TOPICS)]
-    best = F.slice(F.array_sort(F.filter(F.array(*found), lambda s: -s["s"] > least)), 1, most)
-    return rows.select("id", F.transform(best, lambda s: F.struct(F.lower(s["label"]).alias("topic_id"), s["label"].alias("label"), (-s["s"]).alias("score"), s["keywords"].alias("keywords"))).alias("topics"))
+    words = F.coalesce(topic_words(F.col("text")), F.array().cast("array<string>"))
+    hits = _once(words, lambda w: F.struct(F.size(w).alias("n"), F.filter(w, lambda x: x.isin(known)).alias("hits")))
+    every = _once(hits, lambda h: F.array(*(_topic(label, h["hits"], h["n"]) for label in sorted(L.TOPICS))))
+    best = F.slice(F.array_sort(F.filter(every, lambda s: -s["s"] > least)), 1, most)
+    return docs.toDF("id", "text").select("id", F.transform(best, lambda s: F.struct(F.lower(s["label"]).alias("topic_id"), s["label"].alias("label"), (-s["s"]).alias("score"), s["keywords"].alias("keywords"))).alias("topics"))
 
 
 # --- entities

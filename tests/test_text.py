@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import lexicons as L
 from quern.functions import text as T
+from quern.functions.embedding import hashed
 from quern.operators import content as C
 from quern.operators import feedback as B
 from quern.operators import fusion
@@ -127,3 +128,16 @@ def test_organisations_equal_the_plain_expression_in_linear_time():
     for text in ("Aa Bb " * 50_000, "Incorporated " * 30_000, "A " * 100_000 + "Inc"):
         list(C._found(C._COMPILED["ORG"][0], text))
     assert time.time() - began < 5
+
+
+def test_texts_are_cut_once(spark):
+    docs = spark.createDataFrame([(1, "computer software algorithm for machine learning and data"), (2, None)], "id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    try:
+        assert plan(C.topics(docs)).count("regexp_replace(") == 1
+        v = docs.select("id", hashed(F.col("text"), 16).alias("vector"))
+        assert plan(v.where("vector is not null and not exists(vector, x -> x is null)")).count("counted(") == 1
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+    assert [r["vector"] is None for r in v.orderBy("id").collect()] == [False, True]
