@@ -92,6 +92,40 @@ def test_pairs_need_a_click(spark):
     assert got.keys() == {(1, 3), (2, 3), (3, 4), (3, 5)} and got[1, 3][0] == 0 and got[3, 4] == (1.0, -0.1, round(math.log1p(3) - math.log1p(4), 6))
 
 
+def test_pairs_are_counted_in_blocks_and_written_out(spark):
+    rng = np.random.default_rng(5)
+    some = lambda *x: x[rng.integers(0, len(x))]
+    rows = [(1, some(1, 1, 2, None), some(1, 2, 3), some(1, 2, 3, None), some("click", "impression", None), some(0.0, 1.0, 2.0, math.nan, None), s, some(0.5, 0.25), some(1, None)) for s in range(600)]
+    rows += [(1, 4, 1, 5, None, 1.5, 1000 + s, 0.5, 1) for s in range(9)]  # a position of which no type is known
+    x = spark.createDataFrame([(*r[:6], AT + dt.timedelta(seconds=r[6]), *r[7:]) for r in rows], EVENT + ", score double, views long")
+    x = x.drop("score", "views"), x
+    hit = {(q, p): max([int(t == "click") for _, q2, _, p2, t, *_ in rows if (q2, p2) == (q, p) and t], default=None) for _, q, _, p, *_ in rows}
+    by, want = {}, ({}, {})
+    for r in sorted(rows, key=lambda r: (-1 if r[3] is None else r[3], r[6])):
+        by.setdefault(r[1], []).append(r)
+    for q in by.keys() - {None}:
+        for i, a in enumerate(by[q]):
+            for b in by[q][i + 1 :]:
+                h, k, v, w = hit[q, a[3]], hit[q, b[3]], a[5], b[5]
+                if h or k:
+                    nan = lambda v: math.inf if math.isnan(v) else v
+                    label = 1.0 if h and k == 0 else 0.0 if k and h == 0 else 0.5 if v is None or w is None or nan(v) == nan(w) else float(nan(v) > nan(w))
+                    ends = (None, None) if None in (a[3], b[3]) else (float(b[3] - a[3]), round(a[3] / b[3], 6))
+                    for out, more in zip(want, ((), (a[7] - b[7], None if None in (a[8], b[8]) else 0.0))):
+                        key = (q, a[2], b[2], label, *ends, *more)
+                        out[key] = out.get(key, 0) + 1
+    for block in (50, 8192):
+        for given, out in zip(x, want):
+            got = B.pairwise(given, block)
+            assert {tuple(r)[:-1]: r["count"] for r in got.groupBy(got.columns).count().collect()} == out
+
+
+def test_pairs_that_give_equal_rows_are_counted_once(spark):
+    x = spark.range(30_000).selectExpr("1L user_id", "7L query_id", "id % 3 document_id", "2L position", "'click' type", "double(id % 1000) value", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id) ts")
+    found = B.pair_counts(x).agg(F.count(F.lit(1)), F.sum("times"), F.max("times")).first()
+    assert found[0] < 600_000 and found[1] == 30_000 * 29_999 // 2 and found[2] <= B.MOST
+
+
 def test_weights_and_modes(spark):
     requests = spark.createDataFrame([(1, 1, True, None, None, "auto", True, "q"), (2, 1, False, None, None, None, True, None), (3, 1, True, 1.0, None, "vector", False, "q"), (4, 9, True, 0.0, 0.0, "", False, "")], "request_id long, user_id long, personalize boolean, vector_weight double, text_weight double, mode string, has_vector boolean, query string")
     profiles = spark.createDataFrame([(1, 0.9, 0.1)], "user_id long, vector_weight double, text_weight double")
