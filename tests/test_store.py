@@ -45,3 +45,17 @@ def test_streams_equal_batches(spark, tmp_path):
     assert hours and sum(r["impressions"] for r in hours) <= 1000
     joined = plans._run(spark, S.attributed(events, "48 hours", "72 hours"), "append")
     assert joined.where("seen > ts").count() == 0
+
+
+def test_equal_clicks_and_impressions_meet_once(spark, tmp_path):
+    kinds = "query_id long, document_id long, position long, type string, ts timestamp"
+    rows = [(1, 1, 2, "impression", 10), (1, None, 2, "impression", 10), (1, 1, 3, "impression", 11), (1, 1, 2, "click", 12), (1, None, 2, "click", 12), (1, 1, 2, "click", 9), (2, 1, None, "impression", 5), (2, 1, 1, "click", 5)]
+    times = [1500, 3, 2, 1200, 3, 4, 1, 1]
+    one = spark.createDataFrame([(*r, n) for r, n in zip(rows, times)], kinds.replace("ts timestamp", "s long, n long")).withColumn("ts", F.timestamp_seconds("s"))
+    one.withColumn("copy", F.explode(F.expr("sequence(1, n)"))).drop("copy", "n", "s").write.parquet(f"{tmp_path}/in")
+    events = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    kept = plans._run(spark, S.attributed_counts(events), "append")
+    assert kept.agg(F.max("times")).first()[0] <= 1024 and kept.count() < 100_000
+    want = {(1, 12, 10, 2): 1500 * 1200, (1, 12, 11, 3): 2 * 1200, (2, 5, 5, None): 1}
+    got = plans._run(spark, S.attributed(events), "append").groupBy("query_id", F.unix_timestamp("ts"), F.unix_timestamp("seen"), "seen_position").count().collect()
+    assert {tuple(r)[:-1]: r["count"] for r in got} == want == {tuple(r)[:-1]: r["n"] for r in kept.groupBy("query_id", F.unix_timestamp("ts"), F.unix_timestamp("seen"), "seen_position").agg(F.sum("times").alias("n")).collect()}
